@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from raywalk.llm import bpe, shared, tiff, urls
+from raywalk.llm import bpe, langid, quality, shared, tiff, urls
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -28,6 +28,14 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(encoded, path))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every whole text; a third of the keys is held out."""
+    docs = shared.read(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = shared.fold("doc_id", 3) == 1
+    model = quality.fit(docs, shared.read(spark, sf_dir, "labels"), ~held_out)
+    return quality.score(docs.withColumn("held_out", held_out), model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judge every page's URL by the fixed rules."""
     return urls.judge(shared.read(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
@@ -39,10 +47,20 @@ def op8_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.payload_digests(tiff.encode_texts(docs).drop("text"))
 
 
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predict the language of every whole text; a quarter of the keys is held out."""
+    docs = shared.read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = shared.fold("doc_id", 4) == 2
+    model = langid.fit(docs, ~held_out)
+    return langid.identify(docs.select("doc_id", "text", held_out.alias("held_out")), model).drop("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
+    "op3_quality": op3_quality,
     "op5_url_filters": op5_url_filters,
     "op8_tiff": op8_tiff,
+    "op10_langid": op10_langid,
 }
 
 _PARTED = r"""

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from raywalk.session import ship
+
 #: Rows in one Arrow batch sent to Python: a thousand texts of 100 kB make 100 MB.
 BATCH_ROWS = 1000
 
@@ -51,7 +53,9 @@ def drop_table(df: DataFrame) -> None:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Let Arrow batches of whole texts stay small, unless the session asks for smaller ones still."""
+    """Before Python runs on executors: ship the package where it is missing, and let Arrow batches
+    of whole texts stay small, unless the session asks for smaller ones still."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > BATCH_ROWS or int(spark.conf.get(key, "10000")) <= 0:
         spark.conf.set(key, str(BATCH_ROWS))
