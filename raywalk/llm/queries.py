@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from raywalk.llm import bpe, langid, quality, shared, tiff, urls
+from raywalk.llm import bpe, langid, near_dedup, quality, shared, tiff, urls
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -36,6 +36,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs.withColumn("held_out", held_out), model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 4-word shingle sets have a Jaccard index of 0.8 or more."""
+    return near_dedup.link(shared.read(spark, sf_dir, "documents").select("doc_id", "text"), params=near_dedup.Params(words=4))
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judge every page's URL by the fixed rules."""
     return urls.judge(shared.read(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
@@ -58,6 +63,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_quality": op3_quality,
+    "op4_near_dedup": op4_near_dedup,
     "op5_url_filters": op5_url_filters,
     "op8_tiff": op8_tiff,
     "op10_langid": op10_langid,
@@ -73,7 +79,42 @@ parted AS (
 
 _RULES = ", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in URL_RULES)
 
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWERED}, '[^\x20\x09-\x0D]+')"
+
+
+def near_dedup_sql(table: str, k: int) -> str:
+    """CTEs ``sizes`` (doc_id, n_shingles) and ``grouped`` (doc_id, component_id) for documents of ``table``."""
+    return f"""
+worded AS MATERIALIZED (SELECT doc_id, {_WORDS} AS words FROM {table}),
+shingles AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) >= {k} THEN [array_to_string(words[i:i + {k - 1}], ' ') for i in range(1, len(words) - {k} + 2)]
+                                      WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS s
+  FROM worded),
+sizes AS MATERIALIZED (
+  SELECT w.doc_id, coalesce(n, 0) AS n_shingles
+  FROM worded w LEFT JOIN (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id) c ON w.doc_id = c.doc_id),
+common AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+linked AS MATERIALIZED (
+  SELECT a, b FROM common JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id
+  WHERE 100 * n >= 80 * (x.n_shingles + y.n_shingles - n)),
+ways AS MATERIALIZED (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked),
+reached(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM sizes
+  UNION
+  SELECT r.doc_id, w.b FROM reached r JOIN ways w ON r.other = w.a),
+grouped AS MATERIALIZED (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id)
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op4_near_dedup": f"""
+WITH RECURSIVE {near_dedup_sql("documents", 4).strip()}
+SELECT s.doc_id, CAST(n_shingles AS BIGINT) AS n_shingles, component_id, s.doc_id = component_id AS kept
+FROM sizes s JOIN grouped g ON s.doc_id = g.doc_id
+""",
     "op5_url_filters": f"""
 WITH {_PARTED.strip()},
 rules(verdict, rhost, rpath) AS (VALUES {_RULES}),
