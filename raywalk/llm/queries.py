@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from raywalk.llm import bpe, langid, near_dedup, quality, shared, tiff, urls
+from raywalk.llm import bpe, langid, lm, near_dedup, quality, shared, tiff, urls
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -52,6 +52,13 @@ def op8_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.payload_digests(tiff.encode_texts(docs).drop("text"))
 
 
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every whole text with the smoothed word counts and the model; a seventh of the keys is held out."""
+    held_out = shared.fold("doc_id", 7) == 2
+    docs = shared.read(spark, sf_dir, "documents").select("doc_id", "text", held_out.alias("held_out"))
+    return lm.score(docs, lm.fit(docs, ~docs["held_out"]))
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predict the language of every whole text; a quarter of the keys is held out."""
     docs = shared.read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -66,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_near_dedup": op4_near_dedup,
     "op5_url_filters": op5_url_filters,
     "op8_tiff": op8_tiff,
+    "op9_lm": op9_lm,
     "op10_langid": op10_langid,
 }
 
