@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from raywalk.llm import bpe, langid, lm, near_dedup, quality, shared, tiff, urls
+from raywalk.llm import bpe, langid, lm, mtree, near_dedup, quality, shared, tiff, urls
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -20,6 +21,12 @@ URL_RULES = [
 ]
 
 
+def op1_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best inner products among all vectors for every vector whose id is divisible by 50."""
+    vectors = shared.read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return mtree.top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every whole text; count and digest both."""
     path = public_tokenizers.path(VOCABULARY)
@@ -68,6 +75,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mtree": op1_mtree,
     "op2_bpe": op2_bpe,
     "op3_quality": op3_quality,
     "op4_near_dedup": op4_near_dedup,
@@ -118,6 +126,17 @@ grouped AS MATERIALIZED (SELECT doc_id, min(other) AS component_id FROM reached
 
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_mtree": """
+WITH vectors AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 256)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, x.vec_id, CAST(list_inner_product(q.v, x.v) AS BIGINT) AS score
+  FROM vectors q JOIN vectors x ON q.vec_id % 50 = 0 AND q.vec_id != x.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored
+QUALIFY rank <= 5
+""",
     "op4_near_dedup": f"""
 WITH RECURSIVE {near_dedup_sql("documents", 4).strip()}
 SELECT s.doc_id, CAST(n_shingles AS BIGINT) AS n_shingles, component_id, s.doc_id = component_id AS kept
