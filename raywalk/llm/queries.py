@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raywalk.llm import bpe, langid, lm, mtree, near_dedup, quality, shared, tiff, urls
+from raywalk.llm import bpe, langid, lm, mtree, near_dedup, quality, shared, tiff, urls, warc
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -53,6 +53,16 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(shared.read(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archive every page, index the captures, look every page's URL up and read the records back by range."""
+    pages = shared.read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    path = shared.new_path(spark, "warc")
+    captures = warc.write_archives(pages, path)
+    found = warc.lookup(warc.build_index(captures, path), captures)
+    number = lambda c: F.expr(f"try_cast(substring({c}, 10) AS BIGINT)")
+    return warc.read_records(found, path).select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+
+
 def op8_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Store every whole text as TIFF, read it back and digest it."""
     docs = shared.read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -80,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op4_near_dedup": op4_near_dedup,
     "op5_url_filters": op5_url_filters,
+    "op6_warc": op6_warc,
     "op8_tiff": op8_tiff,
     "op9_lm": op9_lm,
     "op10_langid": op10_langid,
