@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raywalk.llm import bpe, langid, lm, mtree, near_dedup, quality, shared, tiff, urls, warc
+from raywalk.llm import bpe, langid, lm, mixing, mtree, near_dedup, quality, shared, tiff, urls, warc
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -63,6 +63,19 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_records(found, path).select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
 
 
+#: What each axis is raked to, and the part of all tokens that is drawn.
+AXES = {"source": F.col, "lang": F.col, "topic": lambda _: mixing.text_form(F.col("text"))}
+TARGETS = {"source": mixing.uniform, "lang": mixing.square_root, "topic": mixing.square_root}
+PART = 0.5
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rake all documents to even sources and flattened languages and topics, and draw half of the tokens."""
+    docs = shared.read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    mixed = mixing.mix(docs, {n: f(n) for n, f in AXES.items()}, TARGETS, PART)
+    return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("weight", 6).alias("weight"), F.round("prob", 6).alias("prob"), "sampled")
+
+
 def op8_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Store every whole text as TIFF, read it back and digest it."""
     docs = shared.read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -91,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_near_dedup": op4_near_dedup,
     "op5_url_filters": op5_url_filters,
     "op6_warc": op6_warc,
+    "op7_mixing": op7_mixing,
     "op8_tiff": op8_tiff,
     "op9_lm": op9_lm,
     "op10_langid": op10_langid,
@@ -136,7 +150,61 @@ grouped AS MATERIALIZED (SELECT doc_id, min(other) AS component_id FROM reached
 """
 
 
+
+
+def mixing_sql(rounds: int, part: float) -> str:
+    """The raking rounds, unrolled: each axis of each round scales the cells by target over sum."""
+    steps, last = [], "w0"
+    for r in range(rounds):
+        for axis in ("source", "lang", "topic"):
+            name = f"w{r}_{axis}"
+            steps.append(
+                f"{name} AS MATERIALIZED (SELECT c.source, c.lang, c.topic, c.tokens, CASE WHEN h.have > 0 THEN c.w * (t.share * a.total / h.have) ELSE 0 END AS w "
+                f"FROM {last} c JOIN (SELECT {axis} AS v, sum(w) AS have FROM {last} GROUP BY 1) h ON c.{axis} = h.v JOIN target t ON t.axis = '{axis}' AND t.v = c.{axis}, totals a)"
+            )
+            last = name
+    return f"""
+WITH docs AS MATERIALIZED (
+  SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, coalesce(text, '') AS t FROM documents),
+formed AS MATERIALIZED (
+  SELECT doc_id, source, lang,
+         CASE WHEN d > 0 AND 50 * d >= length(t) THEN 'data' WHEN length(t) < 120 * l THEN 'lines' ELSE 'prose' END AS topic, n_tokens
+  FROM (SELECT *, length(t) - length(translate(t, '0123456789', '')) AS d, length(t) - length(translate(t, chr(10), '')) + 1 AS l,
+               CAST(len(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS n_tokens FROM docs)),
+w0 AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(n_tokens) AS BIGINT) AS tokens, CAST(sum(n_tokens) AS DOUBLE) AS w FROM formed GROUP BY 1, 2, 3),
+totals AS MATERIALIZED (SELECT CAST(sum(tokens) AS DOUBLE) AS total FROM w0),
+wanted AS MATERIALIZED (
+  SELECT 'source' AS axis, source AS v, CASE WHEN sum(tokens) > 0 THEN 1.0::DOUBLE ELSE 0 END AS x FROM w0 GROUP BY 2
+  UNION ALL SELECT 'lang', lang, sqrt(CAST(sum(tokens) AS DOUBLE)) FROM w0 GROUP BY 2
+  UNION ALL SELECT 'topic', topic, sqrt(CAST(sum(tokens) AS DOUBLE)) FROM w0 GROUP BY 2),
+target AS MATERIALIZED (SELECT axis, v, x / sum(x) OVER (PARTITION BY axis) AS share FROM wanted),
+{", ".join(steps)},
+weighted AS MATERIALIZED (SELECT source, lang, topic, tokens, CASE WHEN tokens > 0 THEN w / tokens ELSE 1 END AS weight FROM {last}),
+ordered AS MATERIALIZED (
+  SELECT *, coalesce(sum(tokens) OVER (ORDER BY weight DESC, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cut,
+         sum(tokens * weight) OVER (ORDER BY weight DESC, source, lang, topic ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest
+  FROM weighted),
+scaled AS MATERIALIZED (
+  SELECT ({part} * total - cut) / rest AS c FROM ordered, totals
+  WHERE rest > 0 AND ({part} * total - cut) / rest * weight <= 1 ORDER BY weight DESC, source, lang, topic LIMIT 1)
+SELECT d.doc_id, d.source, d.lang, d.topic, d.n_tokens, round(weight, 6) AS weight, round(least(1.0, c * weight), 6) AS prob,
+       CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE < least(1.0, c * weight) AS sampled
+FROM formed d JOIN weighted w ON d.source = w.source AND d.lang = w.lang AND d.topic = w.topic, scaled
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op7_mixing": mixing_sql(mixing.ROUNDS, PART),
+    "op6_warc": """
+WITH hashed AS MATERIALIZED (
+  SELECT page_id, coalesce(html, '') AS h, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS s FROM pages),
+firsts AS (SELECT s, max(page_id) AS first FROM hashed GROUP BY s)
+SELECT page_id, payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(s, CAST(1 + 5 * (i // 4) AS INTEGER), 5) AS INTEGER) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31), 1) for i in range(32)], '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM hashed JOIN firsts USING (s)
+""",
     "op1_mtree": """
 WITH vectors AS MATERIALIZED (
   SELECT vec_id, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 256)) AS v FROM embeddings
