@@ -1,5 +1,68 @@
-"""Corpus pipeline, to be filled."""
-STAGES = []
+"""Corpus pipeline: language, quality, near duplicates, mix, tokens.
+
+Each stage works on all documents that its predecessor kept, as written to Parquet.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from raywalk.llm import bpe, langid, mixing, near_dedup, quality, shared
+from raywalk.llm.queries import AXES, TARGETS, VOCABULARY
+
+#: Part of the tokens that the mix keeps.
+PART = 0.7
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told go on; those with no letter, or ambiguous, go."""
+    found = langid.identify(docs, langid.fit(docs, F.lit(True)))
+    return found.where((F.col("lang_pred") != langid.UND) & ~F.col("ambiguous")).select(*docs.columns)
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are predicted to be of quality 1 go on."""
+    model = quality.fit(docs, shared.read(spark, sf_dir, "labels"), F.lit(True))
+    return quality.score(docs, model).where("predicted = 1").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of least id of each component goes on."""
+    kept = near_dedup.link(docs).where("kept").select("doc_id").distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn by their calibrated probabilities go on."""
+    mixed = mixing.mix(docs, {n: f(n) for n, f in AXES.items()}, TARGETS, PART)
+    return mixed.where("sampled").select(*docs.columns)
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their token ids, and whether these decode to the text."""
+    path = public_tokenizers.path(VOCABULARY)
+    done = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path)
+    same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
+    return done.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("quality_classifier", quality_classifier),
+    ("near_duplicates", near_duplicates),
+    ("source_mix", source_mix),
+    ("byte_bpe", byte_bpe),
+]
+
+#: Models are fitted on the way, which SQL can't express.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on ``documents``."""
+    docs = shared.read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = shared.write_table(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
