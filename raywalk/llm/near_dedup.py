@@ -173,19 +173,16 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
         for batch in batches:
             out = np.zeros(batch.num_rows, bool)
             for k, (x, y) in enumerate(zip(batch.column("set_a"), batch.column("set_b"))):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                out[k] = 100 * common >= p.percent * (len(x) + len(y) - common)
+                out[k] = _linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), p.percent)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out)], ["a", "b", "linked"])
 
     return sides.select("a", "b", "set_a", "set_b").mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("linked", T.BooleanType())]))
 
 
-def _left_open(members: DataFrame, tested: DataFrame, comps: DataFrame, reps: DataFrame, p: Params) -> DataFrame:
-    """Pairs (a, b) of different components that share a bucket, that the pivots' tests don't settle and
-    whose signatures allow a link. ``members``: key, id, pivot; ``tested``: a (the pivot), b, est, linked."""
+def _in_blocks(df: DataFrame, members: DataFrame, tested: DataFrame, comps: DataFrame, reps: DataFrame, text: str, key: str, p: Params) -> DataFrame:
+    """Links (a, b) between components that the pivots' tests don't settle: open classes that share a bucket meet
+    in pairs of blocks, with signatures and full sets; a block pair gives a spanning forest of its links.
+    ``members``: key, band, id, pivot; ``tested``: a (the pivot), b, est, linked."""
     t = p.percent / 100
     near = max(0.0, 2 * t - 1)
     near -= 7 * float(np.sqrt(max(near * (1 - near), 0.01) / p.hashes))
@@ -208,34 +205,69 @@ def _left_open(members: DataFrame, tested: DataFrame, comps: DataFrame, reps: Da
         .withColumn("m", F.ceil(F.when(F.col("core"), F.col("n_all")).otherwise(F.col("n_open")) / p.block).cast("long"))
         .select("key", "m", "core")
     )
-    rows = rows.join(buckets, "key").where("core OR kind > 0")
+    rows = shared.write_table(rows.join(buckets, "key").where("core OR kind > 0").select("key", "band", "id", "comp", "kind", "m"), "open")
+    # each open class once, with all that a test needs
+    ids = shared.write_table(rows.select("id").distinct(), "ids")
+    full = ids.join(reps.select("id", "sig", "bands"), "id").join(_sets(df, ids, text, key, p), "id")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("m"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
-    rows = rows.select("key", "id", "comp", "kind", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    rows = rows.join(reps.select("id", "sig"), "id")
-    groups = rows.groupBy("key", "i", "j").agg(F.collect_list(F.struct("id", "comp", "kind", "block", "sig")).alias("g")).where(F.size("g") > 1).select("i", "j", "g")
+    rows = rows.select("key", "band", "id", "comp", "kind", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).join(full, "id")
+    groups = rows.groupBy("key", "band", "i", "j").agg(F.collect_list(F.struct("id", "comp", "kind", "block", "sig", "bands", "shingles")).alias("g")).where(F.size("g") > 1).select("band", "i", "j", "g")
     kind = reps.schema["id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lefts, rights = [], []
-            for i, j, g in zip(batch.column("i").to_pylist(), batch.column("j").to_pylist(), batch.column("g").to_pylist()):
-                g.sort(key=lambda r: r["id"])
-                sig = np.frombuffer(b"".join(r["sig"] for r in g), np.uint8).reshape(len(g), -1)
-                comp = np.unique([r["comp"] for r in g], return_inverse=True)[1]
-                kinds, block = np.array([r["kind"] for r in g]), np.array([r["block"] for r in g])
-                for x in range(len(g) - 1):
-                    fit = np.flatnonzero((comp[x + 1 :] != comp[x]) & ((kinds[x + 1 :] + kinds[x] > 2) | (np.minimum(kinds[x + 1 :], kinds[x]) == 1) | (kinds[x + 1 :] + kinds[x] == 1)) & ((i == j) | (block[x + 1 :] != block[x]))) + x + 1
-                    if len(fit):
-                        est = ((sig[fit] == sig[x]).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
-                        fit = fit[est >= p.least_estimate]
-                        lefts += [g[x]["id"]] * len(fit)
-                        rights += [g[y]["id"] for y in fit]
-            of = batch.column("g").type.value_type.field("id").type
-            yield pa.RecordBatch.from_arrays([pa.array(lefts, of), pa.array(rights, of)], ["a", "b"])
+            of = batch.schema.field("g").type.value_type.field("id").type
+            for k in range(batch.num_rows):
+                g = batch.column("g")[k].as_py()
+                links = _block_links(g, batch.column("band")[k].as_py(), batch.column("i")[k].as_py() == batch.column("j")[k].as_py(), p)
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], of), pa.array([y for _, y in links], of)], ["a", "b"])
 
     return groups.mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)])).distinct()
 
 
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets are linked."""
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
+def _block_links(g: list[dict], band: int, alone: bool, p: Params) -> list[tuple]:
+    """A spanning forest of the links between components in a block, or between two blocks. A pair is tested in
+    the first band that it shares, and only while its two sides aren't known to be connected."""
+    g.sort(key=lambda r: r["id"])
+    sig = np.frombuffer(b"".join(r["sig"] for r in g), np.uint8).reshape(len(g), -1)
+    bands, kinds, block = np.array([r["bands"] for r in g]), np.array([r["kind"] for r in g]), np.array([r["block"] for r in g])
+    comp = np.unique([r["comp"] for r in g], return_inverse=True)[1]
+    size = np.array([len(r["shingles"]) for r in g])
+    sets: dict[int, np.ndarray] = {}
+    out = []
+    for x in range(len(g) - 1):
+        rest = np.arange(x + 1, len(g))
+        both = kinds[rest] + kinds[x]  # 0: both confirmed with the pivot, 2 of 0 and 2: too far apart
+        fit = (comp[rest] != comp[x]) & (both > 0) & ((both != 2) | (kinds[rest] == kinds[x]))
+        fit &= 100 * np.minimum(size[rest], size[x]) >= p.percent * np.maximum(size[rest], size[x])
+        if not alone:
+            fit &= block[rest] != block[x]
+        rest = rest[fit]
+        rest = rest[(bands[rest] == bands[x]).argmax(axis=1) == band]
+        if not len(rest):
+            continue
+        est = ((sig[rest] == sig[x]).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
+        order = np.argsort(-est, kind="stable")
+        for y in rest[order][: int((est >= p.least_estimate).sum())].tolist():
+            if comp[y] == comp[x]:
+                continue
+            for k in (x, y):
+                if k not in sets:
+                    sets[k] = np.frombuffer(g[k]["shingles"], np.uint64)
+            if _linked(sets[x], sets[y], p.percent):
+                comp[comp == comp[y]] = comp[x]
+                out.append((g[x]["id"], g[y]["id"]))
+    return out
+
+
 def link(df: DataFrame, text: str = "text", key: str = "doc_id", params: Params = Params()) -> DataFrame:
     """One row per row of ``df``: the key, ``n_shingles``, ``component_id`` (least key reachable) and ``kept``."""
     p = params
@@ -243,26 +275,21 @@ def link(df: DataFrame, text: str = "text", key: str = "doc_id", params: Params
     prints = shared.write_table(_prints(df, text, key, p), "prints")
     classes = prints.where("n > 0 AND id IS NOT NULL").groupBy("f1", "f2").agg(F.min(F.struct("id", "n", "sig", "bands")).alias("r"))
     reps = shared.write_table(classes.select("f1", "f2", "r.*"), "classes")
-    bands = reps.select("id", F.explode("bands").alias("key"))
+    bands = reps.select("id", F.posexplode("bands").alias("band", "key"))
     buckets = bands.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot != last").drop("last")
     members = shared.write_table(bands.join(buckets, "key").where("id != pivot"), "members")
     star = members.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     estimated = shared.write_table(_estimated(star, reps, p), "estimated")
     likely = estimated.where(F.col("est") >= p.least_estimate).select("a", "b")
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        ids = shared.write_table(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
-        sets = shared.write_table(_sets(df, ids, text, key, p), "sets")
-        out = shared.write_table(_confirmed(pairs, sets, p).where("linked").distinct(), "links")
-        shared.drop_table(sets)
-        return out
-
-    links = confirm(likely)
+    ids = shared.write_table(likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct(), "ids")
+    sets = shared.write_table(_sets(df, ids, text, key, p), "sets")
+    links = shared.write_table(_confirmed(likely, sets, p).where("linked").distinct(), "links")
+    shared.drop_table(sets)
     comps = components(links)
     tested = estimated.join(links, ["a", "b"], "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
-    rest = shared.write_table(_left_open(members, tested, comps, reps, p), "open")
+    rest = shared.write_table(_in_blocks(df, members, tested, comps, reps, text, key, p), "rest")
     if not rest.isEmpty():
-        comps = components(links.select("a", "b").union(confirm(rest).select("a", "b")))
+        comps = components(links.select("a", "b").union(rest))
     for used in (members, estimated, rest):
         shared.drop_table(used)
     named = reps.select("f1", "f2", F.col("id").alias("rep")).join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("component"))
