@@ -56,17 +56,6 @@ class SeriesReader(DataSourceReader):
         if "length" in options:
             self.high = self.low + int(options["length"])
 
-    def pushFilters(self, filters):
-        """Narrow the range of positions; every filter is still applied by Spark."""
-        for f in filters:
-            if getattr(f, "attribute", None) == ("idx",) and isinstance(f.value, int):
-                if isinstance(f, (GreaterThan, GreaterThanOrEqual, EqualTo)):
-                    self.low = max(self.low, f.value + isinstance(f, GreaterThan))
-                if isinstance(f, (LessThan, LessThanOrEqual, EqualTo)):
-                    end = f.value + (not isinstance(f, LessThan))
-                    self.high = end if self.high is None else min(self.high, end)
-            yield f
-
     def partitions(self):
         store, path = store_of(self.path)
         info = store.get_file_info(path)
@@ -93,6 +82,21 @@ class SeriesReader(DataSourceReader):
                 yield pa.RecordBatch.from_arrays([pa.array(idx), pa.array(values)], ["idx", "value"])
 
 
+class NarrowedReader(SeriesReader):
+    """A reader that Spark tells its filters, which needs ``spark.sql.python.filterPushdown.enabled``."""
+
+    def pushFilters(self, filters):
+        """Narrow the range of positions; every filter is still applied by Spark."""
+        for f in filters:
+            if getattr(f, "attribute", None) == ("idx",) and isinstance(getattr(f, "value", None), int):
+                if isinstance(f, (GreaterThan, GreaterThanOrEqual, EqualTo)):
+                    self.low = max(self.low, f.value + isinstance(f, GreaterThan))
+                if isinstance(f, (LessThan, LessThanOrEqual, EqualTo)):
+                    end = f.value + (not isinstance(f, LessThan))
+                    self.high = end if self.high is None else min(self.high, end)
+            yield f
+
+
 @dataclass
 class Written(WriterCommitMessage):
     file: str
@@ -143,7 +147,8 @@ class SeriesWriter(DataSourceArrowWriter):
 class BinarySeries(DataSource):
     """``idx`` and ``value`` of a file, or of a folder's .bin files one after another.
 
-    Options: ``start`` and ``length`` of a part of the series, ``split`` records for each partition."""
+    Options: ``start`` and ``length`` of a part of the series, ``split`` records for each partition, ``pushdown`` (true
+    where the session has filter pushdown to Python sources enabled)."""
 
     @classmethod
     def name(cls) -> str:
@@ -153,7 +158,7 @@ class BinarySeries(DataSource):
         return "idx long, value double"
 
     def reader(self, schema) -> SeriesReader:
-        return SeriesReader(self.options)
+        return (NarrowedReader if self.options.get("pushdown") == "true" else SeriesReader)(self.options)
 
     def writer(self, schema, overwrite: bool) -> SeriesWriter:
         return SeriesWriter(self.options, overwrite)
@@ -163,7 +168,8 @@ def read_binary(spark: SparkSession, path: str, start: int = 0, length: int | No
     """A series, or the part of ``length`` records from ``start``, cut at its end. A missing file is an error."""
     ship(spark)
     spark.dataSource.register(BinarySeries)
-    reader = spark.read.format(BinarySeries.name()).option("start", start).option("split", split)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    reader = spark.read.format(BinarySeries.name()).option("start", start).option("split", split).option("pushdown", "true")
     return (reader.option("length", length) if length is not None else reader).load(path)
 
 
