@@ -53,8 +53,8 @@ def rake(tokens: np.ndarray, axes: list[np.ndarray], targets: list[np.ndarray],
     w, total = tokens.astype(float), float(tokens.sum())
     for _ in range(rounds):
         for of, share in zip(axes, targets):
-            have = np.bincount(of, weights=w, minlength=len(share))
-            w = w * np.divide(share * total, have, out=np.zeros_like(have), where=have > 0)[of]
+            have = np.bincount(of, weights=w, minlength=len(share)).astype(float)
+            w = w * np.divide(share * total, have, out=np.zeros(len(share)), where=have > 0)[of]
     return w
 
 
