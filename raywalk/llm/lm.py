@@ -31,12 +31,14 @@ from pyspark.sql import types as T
 from raywalk.llm import shared
 from raywalk.llm.text import buffers, span_hashes, spans, windows
 
-#: Words whose counts are sent to all executors: 1.5 MB.
+#: Words whose counts are sent to all executors: 1.5 MB. Words that occur once are never among them: they stand for the unseen.
 HEAD = 65_536
 OWN, BY_RANK, BY_LENGTH = 95, 16, 16
 CLASSES = 1 + OWN + BY_RANK + BY_LENGTH
 END = 0
-DIMENSIONS, NOISE, ROUNDS, RATE = 24, 8, 150, 0.05
+DIMENSIONS, NOISE, ROUNDS, RATE = 24, 8, 100, 0.03
+#: Tokens by the overall distribution that each context is thought to have had besides its own, and the weight of squared parameters against tokens.
+PRIOR, DECAY = 1.0, 20.0
 
 
 class Words:
@@ -197,7 +199,8 @@ def train(counts: np.ndarray) -> np.ndarray:
     if len(seen):
         n = counts[seen]
         weight = (n.sum(axis=1) / n.sum()).astype(np.float32)
-        share = (n / n.sum(axis=1, keepdims=True)).astype(np.float32)
+        share = ((n + PRIOR * noise) / (n.sum(axis=1, keepdims=True) + PRIOR)).astype(np.float32)
+        decay = np.float32(DECAY / n.sum())
         two, one = np.divmod(seen, k)
         first = {name: np.zeros_like(x) for name, x in p.items()}
         square = {name: np.zeros_like(x) for name, x in p.items()}
@@ -207,7 +210,7 @@ def train(counts: np.ndarray) -> np.ndarray:
         for step in range(1, ROUNDS + 1):
             a, b = p["context"][one], p["context"][two]
             predicted = a @ p["one"] + b @ p["two"]
-            odds = 1 / (1 + np.exp(offset - p["bias"] - predicted @ p["target"].T))  # that a token is no noise
+            odds = 1 / (1 + np.exp(np.clip(offset - p["bias"] - predicted @ p["target"].T, -60, 60)))  # that a token is no noise
             g = (share * (1 - odds) - expected * odds) * weight[:, None]
             back = g @ p["target"]
             grads = {
@@ -215,6 +218,7 @@ def train(counts: np.ndarray) -> np.ndarray:
                 "context": groups[0].T @ (back @ p["one"].T) + groups[1].T @ (back @ p["two"].T),
             }
             for name, x in grads.items():
+                x -= decay * p[name] if name in ("context", "target") else 0
                 first[name] = 0.9 * first[name] + 0.1 * x
                 square[name] = 0.999 * square[name] + 0.001 * x * x
                 p[name] += RATE * (first[name] / (1 - 0.9**step)) / (np.sqrt(square[name] / (1 - 0.999**step)) + 1e-8)
@@ -232,7 +236,7 @@ def fit(df: DataFrame, train_rows: Column, text: str = "text") -> Model:
     counts = shared.write_table(_count_words(rows), "words")
     by_size = counts.groupBy("size").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
     ends = rows.count()
-    top = counts.orderBy(F.desc("n"), "w").limit(HEAD).toArrow()
+    top = counts.where("n > 1").orderBy(F.desc("n"), "w").limit(HEAD).toArrow()
     w, size, n = (top[c].to_numpy() for c in ("w", "size", "n"))
     w = w.view(np.uint64) if w.dtype == np.int64 else w.astype(np.uint64)
     rank = np.arange(len(w))
