@@ -15,6 +15,7 @@ and an input column that has the name of an output column is replaced by it.
 from __future__ import annotations
 
 import base64
+import gc
 import heapq
 from array import array
 from collections.abc import Iterator
@@ -28,9 +29,8 @@ from pyspark.sql import types as T
 from raywalk.llm import shared
 from raywalk.llm.text import mix
 
-#: Distinct pre-tokens whose ids a Python worker remembers; beyond, it forgets all and starts anew.
-MEMO = 700_000
-_M = (1 << 64) - 1
+#: Distinct pre-tokens whose ids a Python worker remembers before it begins anew; those of the time before are still known, once.
+MEMO = 200_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -109,32 +109,28 @@ class Codec:
     """Encoder and decoder of one vocabulary; made once in each Python worker."""
 
     #: Characters of text whose pre-tokens are held at once; a longer text is held alone.
-    CHARS = 1 << 21
+    CHARS = 1 << 18
     _made: dict[tuple[str, str], Codec] = {}
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
 
-        self.ranks, self.split = ranks, regex.compile(pattern).findall
-        self.tokens = {r: t for t, r in ranks.items()}
+        self.split = regex.compile(pattern).findall
         tokens = list(ranks)
         self.hash = PerfectHash(tokens)
         self.entry: list[bytes] = [b""] * len(tokens)
         self.entry_id = array("i", bytes(4 * len(tokens)))
         for t, slot in zip(tokens, self.hash.slots(tokens).tolist()):
             self.entry[slot], self.entry_id[slot] = t, ranks[t]
-        top = max(self.tokens, default=-1)
-        self.size = np.zeros(top + 1, np.int64)
-        self.known = np.zeros(top + 1, bool)
-        for r, t in self.tokens.items():
-            self.size[r], self.known[r] = len(t), True
-        self.byte = {t[0]: r for t, r in ranks.items() if len(t) == 1}
+        self.byte = [ranks.get(bytes((b,))) for b in range(256)]
+        self.first = [ranks.get(bytes((x, y)), -1) for x in range(256) for y in range(256)]
         self.pairs: dict[int, int] = {}
         for t, r in ranks.items():
             for i in range(1, len(t)):
                 if (a := ranks.get(t[:i])) is not None and (b := ranks.get(t[i:])) is not None:
                     self.pairs[a << 32 | b] = r
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str, pattern: str) -> Codec:
@@ -144,47 +140,56 @@ class Codec:
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of a piece: the pair of least rank, leftmost first, is joined until none is in the vocabulary."""
-        pair, n, push, pop = self.pairs.get, len(piece), heapq.heappush, heapq.heappop
-        try:
-            ids = [self.byte[b] for b in piece]
-        except KeyError as e:
-            raise ValueError(f"byte {e} isn't in the vocabulary") from None
-        right, left = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = []
-        for i in range(n - 1):
-            if (r := pair(ids[i] << 32 | ids[i + 1])) is not None:
-                heap.append(r << 32 | i)
+        pair, first, n, push, pop = self.pairs.get, self.first, len(piece), heapq.heappush, heapq.heappop
+        ids = [self.byte[b] for b in piece]
+        if None in ids:
+            raise ValueError("a byte isn't in the vocabulary")
+        # what the pair that begins at each place makes, or -1; the heap's entries hold as long as they agree with it
+        makes = [first[x << 8 | y] for x, y in zip(piece, piece[1:])]
+        heap = [r << 32 | i for i, r in enumerate(makes) if r >= 0]
+        if not heap:
+            return ids
+        makes.append(-1)
         heapq.heapify(heap)
+        right, left = list(range(1, n + 1)), list(range(-1, n - 1))
         while heap:
             top = pop(heap)
-            i = top & 0xFFFFFFFF
-            a, j = ids[i], right[i]
-            if a < 0 or j >= n or pair(a << 32 | ids[j]) != (r := top >> 32):
-                continue  # one of the two has been joined meanwhile
-            ids[i], ids[j] = r, -1
+            i, r = top & 0xFFFFFFFF, top >> 32
+            if makes[i] != r:
+                continue
+            j = right[i]
+            ids[i], ids[j], makes[j] = r, -1, -1
             k = right[i] = right[j]
             if k < n:
                 left[k] = i
-                if (x := pair(r << 32 | ids[k])) is not None:
+                x = makes[i] = pair(r << 32 | ids[k], -1)
+                if x >= 0:
                     push(heap, x << 32 | i)
+            else:
+                makes[i] = -1
             h = left[i]
-            if h >= 0 and (x := pair(ids[h] << 32 | r)) is not None:
-                push(heap, x << 32 | h)
+            if h >= 0:
+                x = makes[h] = pair(ids[h] << 32 | r, -1)
+                if x >= 0:
+                    push(heap, x << 32 | h)
         return [x for x in ids if x >= 0]
 
     def learn(self, pieces: set[str]) -> None:
-        """Remember the ids of new pre-tokens, as bytes of int32."""
-        memo = self.memo
-        if len(memo) + len(pieces) > MEMO:
-            memo.clear()
-        pieces = list(pieces)
-        raw = [p.encode() for p in pieces]
-        entry, ids = self.entry, self.entry_id
-        for p, b, slot in zip(pieces, raw, self.hash.slots(raw).tolist()):
+        """Remember the ids of pre-tokens, as bytes of int32."""
+        memo, older = self.memo, self.older
+        new = []
+        for p in pieces:
+            if p in older:
+                memo[p] = older[p]
+            else:
+                new.append(p)
+        raw = [p.encode() for p in new]
+        entry, ids, merge = self.entry, self.entry_id, self.merge
+        for p, b, slot in zip(new, raw, self.hash.slots(raw).tolist()):
             if entry and entry[slot] == b:
                 memo[p] = ids[slot : slot + 1].tobytes()
             else:
-                memo[p] = array("i", self.merge(b)).tobytes()
+                memo[p] = array("i", merge(b)).tobytes()
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Ids of each text, as bytes of int32; new pre-tokens of many texts are learned together."""
@@ -196,14 +201,47 @@ class Codec:
                 size += len(texts[j] or "")
                 j += 1
             distinct = set().union(*splits)
-            new = distinct.difference(self.memo)
-            self.learn(distinct if len(self.memo) + len(new) > MEMO else new)
+            if len(self.memo) > MEMO:
+                self.memo, self.older = {}, self.memo
+            self.learn(distinct.difference(self.memo))
             for pieces in splits:
                 yield b"".join(map(self.memo.__getitem__, pieces))
             i = j
 
+
+class Decoder:
+    """Bytes of each id of one vocabulary; all that decoding needs."""
+
+    #: Ids that are looked up at once.
+    SLICE = 1 << 15
+    _made: dict[str, Decoder] = {}
+
+    def __init__(self, ranks: dict[bytes, int]):
+        top = max(ranks.values(), default=-1)
+        self.tokens: list[bytes] = [b""] * (top + 1)
+        self.known = np.zeros(top + 1, bool)
+        for t, r in ranks.items():
+            self.tokens[r], self.known[r] = t, True
+        self.size = np.fromiter(map(len, self.tokens), np.int64, top + 1)
+
+    @classmethod
+    def of(cls, path: str) -> Decoder:
+        if path not in cls._made:
+            cls._made[path] = cls(load_ranks(path))
+        return cls._made[path]
+
     def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.known) or not self.known[ids].all()):
+            raise ValueError("an id isn't in the vocabulary")
+        token = self.tokens.__getitem__
+        return b"".join([b"".join(map(token, ids[i : i + self.SLICE].tolist())) for i in range(0, len(ids), self.SLICE)])
+
+    def column(self, values: np.ndarray, counts: np.ndarray) -> pa.Array:
+        """One binary value for each of the runs of ids."""
+        data = self.decode(values)
+        sizes = np.concatenate([[0], np.cumsum(self.size[values])])
+        ends = sizes[np.concatenate([[0], np.cumsum(counts)])].astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)])
 
 
 def _with(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
@@ -213,9 +251,25 @@ def _with(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
     return batch.append_column(name, column)
 
 
-def _schema(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
-    fields = [T.StructField(f.name, kind if f.name == name else f.dataType, True) for f in df.schema.fields]
-    return T.StructType(fields if name in df.columns else [*fields, T.StructField(name, kind, True)])
+def _schema(df: DataFrame, **made: T.DataType) -> T.StructType:
+    fields = [T.StructField(f.name, made.get(f.name, f.dataType), True) for f in df.schema.fields]
+    return T.StructType([*fields, *(T.StructField(n, k, True) for n, k in made.items() if n not in df.columns)])
+
+
+def _encoded(codec: Codec, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The column of ids, all ids together, and the number of ids of each text."""
+    collecting = gc.isenabled()
+    gc.disable()  # encoding makes very many lists and no cycles
+    try:
+        parts = list(codec.encode(texts.to_pylist()))
+    finally:
+        if collecting:
+            gc.enable()
+    counts = np.fromiter((len(p) // 4 for p in parts), np.int64, len(parts))
+    data = b"".join(parts)
+    ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    ids = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(data)])
+    return pa.ListArray.from_arrays(pa.array(ends), ids), np.frombuffer(data, np.int32), counts
 
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
@@ -224,40 +278,40 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(path, pattern)
         for batch in batches:
-            parts = list(codec.encode(batch.column(text).to_pylist()))
-            ends = np.zeros(len(parts) + 1, np.int32)
-            np.cumsum([len(p) // 4 for p in parts], out=ends[1:])
-            ids = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(parts))])
-            yield _with(batch, out, pa.ListArray.from_arrays(pa.array(ends), ids))
+            yield _with(batch, out, _encoded(codec, batch.column(text))[0])
 
     shared.bounded_batches(df.sparkSession)
-    return df.mapInArrow(run, _schema(df, out, T.ArrayType(T.IntegerType())))
+    return df.mapInArrow(run, _schema(df, **{out: T.ArrayType(T.IntegerType())}))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Add ``out``, the bytes that the ``ids`` stand for: binary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec.of(path, ".")
-        table = codec.tokens.__getitem__
+        decoder = Decoder.of(path)
         for batch in batches:
             column = batch.column(ids)
             flat = column.flatten()
-            n = len(flat)
             if flat.null_count:
                 raise ValueError("an id is null")
-            values = flat.to_numpy(zero_copy_only=False)
-            if n and (values.min() < 0 or values.max() >= len(codec.known) or not codec.known[values].all()):
-                raise ValueError("an id isn't in the vocabulary")
             counts = np.fromiter((x or 0 for x in column.value_lengths().to_pylist()), np.int64, len(column))
-            sizes = np.concatenate([[0], np.cumsum(codec.size[values])])
-            ends = sizes[np.concatenate([[0], np.cumsum(counts)])].astype(np.int32)
-            data = b"".join(map(table, values.tolist()))
-            decoded = pa.Array.from_buffers(pa.binary(), len(column), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)])
-            yield _with(batch, out, decoded)
+            yield _with(batch, out, decoder.column(flat.to_numpy(zero_copy_only=False), counts))
+
+    shared.bounded_batches(df.sparkSession)
+    return df.mapInArrow(run, _schema(df, **{out: T.BinaryType()}))
+
+
+def transcode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """``encode`` and then ``decode`` of the ids in one pass, so that they aren't sent through Spark in between."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec, decoder = Codec.of(path, pattern), Decoder.of(path)
+        for batch in batches:
+            column, values, counts = _encoded(codec, batch.column(text))
+            yield _with(_with(batch, ids, column), out, decoder.column(values, counts))
 
     shared.bounded_batches(df.sparkSession)
-    return df.mapInArrow(run, _schema(df, out, T.BinaryType()))
+    return df.mapInArrow(run, _schema(df, **{ids: T.ArrayType(T.IntegerType()), out: T.BinaryType()}))
 
 
 def digests(df: DataFrame, key: str = "doc_id", ids: str = "ids", decoded: str = "decoded") -> DataFrame:

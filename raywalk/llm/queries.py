@@ -31,8 +31,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every whole text; count and digest both."""
     path = public_tokenizers.path(VOCABULARY)
     docs = shared.read(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = bpe.encode(docs, path, public_tokenizers.PATTERN).select("doc_id", "ids")
-    return bpe.digests(bpe.decode(encoded, path))
+    return bpe.digests(bpe.transcode(docs, path, public_tokenizers.PATTERN).drop("text"))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

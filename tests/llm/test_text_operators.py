@@ -58,7 +58,7 @@ def test_encoding_is_that_of_the_library(reference, t):
     (ids,) = codec.encode([t])
     ids = np.frombuffer(ids, np.int32)
     assert ids.tolist() == reference.encode_ordinary(t)
-    assert codec.decode(ids) == t.encode()
+    assert bpe.Decoder.of(PATH).decode(ids) == t.encode()
 
 
 def test_bpe_query_on_every_text(spark, reference):
@@ -78,6 +78,8 @@ def test_bpe_edges(spark):
     done = bpe.decode(bpe.encode(df, PATH, public_tokenizers.PATTERN), PATH)
     assert done.columns == ["doc_id", "text", "ids", "decoded"]
     assert sorted(bytes(r["decoded"]) for r in done.collect()) == sorted((t or "").encode() for _, t, _ in rows)
+    once = bpe.transcode(df, PATH, public_tokenizers.PATTERN)
+    assert once.columns == done.columns and sorted(map(str, once.collect())) == sorted(map(str, done.collect()))
     assert bpe.digests(done).where("doc_id = 1").first()["n_tokens"] == 0
     assert bpe.encode(df.limit(0), PATH, public_tokenizers.PATTERN).count() == 0
     bad = spark.createDataFrame([([50_300],)], "ids array<int>")
