@@ -314,6 +314,14 @@ def density_grid(spark, sf_dir):
     return six(density.density_grid(hits, polar.extent(plane, P.scale), P.grid), "radius", "density")
 
 
+@query(staged("SELECT segment, u, round(radius, 6) AS radius, round(density, 6) AS density FROM grid", "grid"))
+def density_grid_relational(spark, sf_dir):
+    """The same densities without numpy."""
+    plane = points(spark, sf_dir)
+    hits = pipeline.kept(polar.intersections(plane, P.segments, P.scale, CHUNK))
+    return six(density.density_grid_relational(hits, polar.extent(plane, P.scale), P.grid), "radius", "density")
+
+
 @query(staged("SELECT segment, node, round(radius, 6) AS radius FROM nodes", "nodes"))
 def extract_nodes(spark, sf_dir):
     return six(nodes(spark, sf_dir)[2], "radius")
