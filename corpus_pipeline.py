@@ -36,14 +36,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn by their calibrated probabilities go on."""
-    mixed = mixing.mix(docs, {n: f(n) for n, f in AXES.items()}, TARGETS, PART)
+    mixed = mixing.mix(docs, {f"mix_{n}": f(n) for n, f in AXES.items()}, {f"mix_{n}": t for n, t in TARGETS.items()}, PART)
     return mixed.where("sampled").select(*docs.columns)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their token ids, and whether these decode to the text."""
     path = public_tokenizers.path(VOCABULARY)
-    done = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path)
+    done = bpe.transcode(docs, path, public_tokenizers.PATTERN)
     same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
     return done.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 
