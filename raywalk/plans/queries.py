@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from raywalk.functions import scalars
@@ -420,25 +420,30 @@ def matrix_diff(spark, sf_dir):
     return found.withColumns({"max_difference": F.round("max_difference", 6), "avg_difference": F.round("avg_difference", 4)})
 
 
+def wall_micros(column: str = "ts") -> Column:
+    """Microseconds of a wall-clock time, whatever the session's time zone."""
+    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST({column} AS TIMESTAMP_NTZ))")
+
+
 def machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as measurements of four processors."""
     used = F.floor(F.col("value") * 1000).cast("long")
     return events(spark, sf_dir).select(
-        F.concat(F.lit("p"), (F.col("user_id") % 4).cast("string")).alias("processor"), "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"), F.least(F.col("value") / 100.0, F.lit(1.0)).alias("cpu_ratio"),
+        F.concat(F.lit("p"), (F.col("user_id") % 4).cast("string")).alias("processor"), "event_id", wall_micros().alias("at_us"), F.least(F.col("value") / 100.0, F.lit(1.0)).alias("cpu_ratio"),
         used.alias("used_memory"), F.lit(600000).cast("long").alias("max_memory"), (used / 600000.0).alias("used_ratio"),
     )
 
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as durations of their kinds."""
-    start = F.unix_micros(F.col("ts").cast("timestamp"))
+    start = wall_micros()
     return events(spark, sf_dir).select(F.col("event_type").alias("name"), start.alias("start_us"), (start + (F.floor("value").cast("long") + 1) * 1000000).alias("end_us"))
 
 
 def moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as transfers between processors, as their receivers report them."""
     p = lambda c: F.concat(F.lit("p"), c.cast("long").cast("string"))
-    start = F.unix_micros(F.col("ts").cast("timestamp"))
+    start = wall_micros()
     sink = p(F.floor(F.col("user_id") / 4) % 4)
     return events(spark, sf_dir).select(F.col("event_type").alias("name"), sink.alias("processor"), p(F.col("user_id") % 4).alias("source"), sink.alias("sink"), F.floor(F.col("value") * 1000).cast("long").alias("bytes"), start.alias("start_us"), (start + (F.floor("value").cast("long") + 1) * 1000000).alias("end_us"))
 
@@ -564,7 +569,7 @@ def log_parse(spark, sf_dir):
     line = F.concat(F.lit("["), F.date_format(at, runlog.TIME), F.lit("]  -  MachineUtilization { Processor = p"), (F.col("user_id") % 4).cast("string"), F.lit("; MaximumMemory = 600000; UsedHeap = "), (F.col("event_id") * 3).cast("string"), F.lit("; UsedStack = "), F.col("user_id").cast("string"), F.lit("; CPULoad = 0.25; UsedStack = 7; }"))
     rows = runlog.parse_log(events(spark, sf_dir).select("event_id", line.alias("value")))
     p = F.col("props")
-    return rows.select("event_id", F.unix_millis("ts").alias("at_ms"), "event", p["Processor"].alias("processor"), (p["UsedHeap"].cast("long") + p["UsedStack"].cast("long")).alias("used_memory"), F.size("props").cast("long").alias("properties"))
+    return rows.select("event_id", F.floor(wall_micros() / 1000).cast("long").alias("at_ms"), "event", p["Processor"].alias("processor"), (p["UsedHeap"].cast("long") + p["UsedStack"].cast("long")).alias("used_memory"), F.size("props").cast("long").alias("properties"))
 
 
 @query()
