@@ -19,8 +19,8 @@ the defaults at 0.8.
 
 Defined results: null, empty or blank text has no set, is linked with nothing and is its own component; a text
 of fewer words than a shingle is one shingle as a whole; a null key is linked with nothing, has a
-null component and is kept; rows that repeat a key are handled row by row, and each gets its
-own text's component; a column named like a result is replaced.
+null component and is kept; rows that repeat a key each get a row, and a key with several texts is one document that
+has the links of all of them; an empty table gives no rows; only the key of the input is returned.
 """
 
 from __future__ import annotations
@@ -186,29 +186,24 @@ def _in_blocks(df: DataFrame, members: DataFrame, tested: DataFrame, comps: Data
     t = p.percent / 100
     near = max(0.0, 2 * t - 1)
     near -= 7 * float(np.sqrt(max(near * (1 - near), 0.01) / p.hashes))
-    pivot = comps.select(F.col("node").alias("pivot"), F.col("component").alias("pivot_comp"))
     own = comps.select(F.col("node").alias("id"), F.col("component").alias("comp"))
-    found = tested.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "est", "linked").join(pivot, "pivot", "left").join(own, "id", "left")
+    found = tested.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "est", "linked").join(own, "id", "left")
     # 0: confirmed with the pivot, 1: near enough to have a link to such a one, 2: far
-    found = found.select("pivot", "id", F.coalesce("comp", "id").alias("comp"), F.coalesce("pivot_comp", "pivot").alias("pivot_comp"), F.when(F.col("linked"), 0).when(F.col("est") >= near, 1).otherwise(2).alias("kind"))
+    found = found.select("pivot", "id", F.coalesce("comp", "id").alias("comp"), F.when(F.col("linked"), 0).when(F.col("est") >= near, 1).otherwise(2).alias("kind"))
     rows = members.join(found, ["pivot", "id"])
-    opened = F.when(F.col("kind") > 0, F.col("comp"))
-    buckets = (
-        rows.groupBy("key")
-        .agg(
-            F.count(opened).alias("n_open"),
-            F.count("*").alias("n_all"),
-            (F.min(opened) != F.max(opened)).alias("many"),
-            (F.max((F.col("kind") == 1) & (F.col("comp") != F.col("pivot_comp"))) & (F.min("kind") == 0)).alias("core"),
-        )
-        .where("coalesce(many, false) OR core")
-        .withColumn("m", F.ceil(F.when(F.col("core"), F.col("n_all")).otherwise(F.col("n_open")) / p.block).cast("long"))
-        .select("key", "m", "core")
-    )
+    opened, middle = F.when(F.col("kind") > 0, F.col("comp")), F.when(F.col("kind") == 1, F.col("comp"))
+    buckets = rows.groupBy("key").agg(
+        F.count(opened).alias("n_open"), F.count("*").alias("n_all"), F.min(opened).alias("open_a"), F.max(opened).alias("open_b"),
+        F.min(middle).alias("near_a"), F.max(middle).alias("near_b"), F.min(F.when(F.col("kind") == 0, F.col("comp"))).alias("pivot_comp"),
+    )
+    # confirmed classes matter where one that is near isn't of their component, which is the pivot's
+    core = F.coalesce((F.col("near_a") != F.col("pivot_comp")) | (F.col("near_b") != F.col("pivot_comp")), F.lit(False))
+    buckets = buckets.withColumn("core", core).where("core OR open_a != open_b")
+    buckets = buckets.select("key", "core", F.ceil(F.when(F.col("core"), F.col("n_all")).otherwise(F.col("n_open")) / p.block).cast("long").alias("m"))
     rows = shared.write_table(rows.join(buckets, "key").where("core OR kind > 0").select("key", "band", "id", "comp", "kind", "m"), "open")
     # each open class once, with all that a test needs
     ids = shared.write_table(rows.select("id").distinct(), "ids")
-    full = ids.join(reps.select("id", "sig", "bands"), "id").join(_sets(df, ids, text, key, p), "id")
+    full = reps.select("id", "sig", "bands").join(_sets(df, ids, text, key, p), "id")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("m"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
     rows = rows.select("key", "band", "id", "comp", "kind", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).join(full, "id")
     groups = rows.groupBy("key", "band", "i", "j").agg(F.collect_list(F.struct("id", "comp", "kind", "block", "sig", "bands", "shingles")).alias("g")).where(F.size("g") > 1).select("band", "i", "j", "g")
@@ -222,7 +217,7 @@ def _in_blocks(df: DataFrame, members: DataFrame, tested: DataFrame, comps: Data
                 links = _block_links(g, batch.column("band")[k].as_py(), batch.column("i")[k].as_py() == batch.column("j")[k].as_py(), p)
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], of), pa.array([y for _, y in links], of)], ["a", "b"])
 
-    return groups.mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)])).distinct()
+    return groups.mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
 
 
 def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -283,13 +278,13 @@ def link(df: DataFrame, text: str = "text", key: str = "doc_id", params: Params
     likely = estimated.where(F.col("est") >= p.least_estimate).select("a", "b")
     ids = shared.write_table(likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct(), "ids")
     sets = shared.write_table(_sets(df, ids, text, key, p), "sets")
-    links = shared.write_table(_confirmed(likely, sets, p).where("linked").distinct(), "links")
+    links = shared.write_table(_confirmed(likely, sets, p).where("linked"), "links")
     shared.drop_table(sets)
     comps = components(links)
     tested = estimated.join(links, ["a", "b"], "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
     rest = shared.write_table(_in_blocks(df, members, tested, comps, reps, text, key, p), "rest")
     if not rest.isEmpty():
-        comps = components(links.select("a", "b").union(rest))
+        comps = components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).union(rest))
     for used in (members, estimated, rest):
         shared.drop_table(used)
     named = reps.select("f1", "f2", F.col("id").alias("rep")).join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("component"))
