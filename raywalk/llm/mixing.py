@@ -70,27 +70,30 @@ def calibrate(tokens: np.ndarray, weight: np.ndarray, part: float) -> float:
     return float(c[good[0]]) if len(good) else float(1 / f[f > 0].min()) if (f > 0).any() else 0.0
 
 
-def mix(df: DataFrame, axes: dict[str, Column], targets: dict[str, Callable[[dict[str, int]], dict[str, float]]], part: float, text: str = "text", key: str = "doc_id", rounds: int = ROUNDS) -> DataFrame:
-    """Add the axes, ``n_tokens``, ``weight``, ``prob`` and ``sampled``. ``targets`` gives each axis's shares, in any scale, from its token counts."""
+def mix(df: DataFrame, axes: dict[str, Column], targets: dict[str, Callable[[dict[str, int]], dict[str, float]]], part: float, tokens: Column | None = None, key: str = "doc_id", rounds: int = ROUNDS) -> DataFrame:
+    """Add the axes, ``n_tokens``, ``weight``, ``prob`` and ``sampled``. ``targets`` gives each axis's shares, in any scale, from its token counts.
+
+    ``tokens`` is the number of a document's tokens, the words of ``text`` by default. The table is read twice, so axes and tokens
+    that are dear to compute should be columns of a written table."""
     names = list(axes)
     made = [*names, "n_tokens", "weight", "prob", "sampled"]
     rest = [F.col(f"`{c}`") for c in df.columns if c not in made]
-    rows = df.select(*rest, *(F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in axes.items()), n_words(F.col(text)).alias("n_tokens"))
+    rows = df.select(*rest, *(F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in axes.items()), F.coalesce((n_words(F.col("text")) if tokens is None else tokens).cast("long"), F.lit(0).cast("long")).alias("n_tokens"))
     cells = rows.groupBy(*names).agg(F.sum("n_tokens").alias("tokens")).limit(MAX_CELLS + 1).toPandas().sort_values(names)
     if len(cells) > MAX_CELLS:
         raise ValueError(f"more than {MAX_CELLS} cells")
-    tokens = cells["tokens"].to_numpy().astype(np.int64)
+    have = cells["tokens"].to_numpy().astype(np.int64)
     of, shares = [], []
     for n in names:
         values, number = np.unique(cells[n].to_numpy(object).astype(str), return_inverse=True)
-        sums = np.bincount(number, weights=tokens, minlength=len(values)).astype(np.int64)
+        sums = np.bincount(number, weights=have, minlength=len(values)).astype(np.int64)
         wanted = targets[n](dict(zip(values.tolist(), sums.tolist())))
         share = np.array([float(wanted.get(v, 0.0)) if s else 0.0 for v, s in zip(values.tolist(), sums.tolist())])
         of.append(number)
         shares.append(share / share.sum() if share.sum() else share)
-    fitted = rake(tokens, of, shares, rounds)
-    weight = np.divide(fitted, tokens, out=np.ones(len(tokens)), where=tokens > 0)
-    c = calibrate(tokens, weight, part) if len(tokens) else 0.0
+    fitted = rake(have, of, shares, rounds)
+    weight = np.divide(fitted, have, out=np.ones(len(have)), where=have > 0)
+    c = calibrate(have, weight, part) if len(have) else 0.0
     cells = cells.assign(weight=weight, prob=np.minimum(1.0, c * weight))[[*names, "weight", "prob"]]
     spark = df.sparkSession
     schema = ", ".join(f"`{n}` string" for n in names) + ", weight double, prob double"

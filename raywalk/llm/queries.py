@@ -70,8 +70,10 @@ PART = 0.5
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rake all documents to even sources and flattened languages and topics, and draw half of the tokens."""
-    docs = shared.read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    mixed = mixing.mix(docs, {n: f(n) for n, f in AXES.items()}, TARGETS, PART)
+    docs = shared.read(spark, sf_dir, "documents")
+    thin = docs.select("doc_id", *(f(n).alias(n) for n, f in AXES.items()), mixing.n_words(F.col("text")).alias("words"))
+    thin = shared.write_table(thin, "mixing")
+    mixed = mixing.mix(thin, {n: F.col(n) for n in AXES}, TARGETS, PART, F.col("words"))
     return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("weight", 6).alias("weight"), F.round("prob", 6).alias("prob"), "sampled")
 
 
