@@ -183,6 +183,8 @@ def test_lm_probabilities_add_up(spark):
     inside = np.bincount(model.head.classes, weights=seen, minlength=lm.CLASSES)
     inside[lm.END] += model.ends + 1
     inside[1 + lm.OWN + lm.BY_RANK :] += 1
+    inside[lm.OWN + lm.BY_RANK + 1] += 2  # c, which occurs once, by its length
+    inside[lm.OWN + lm.BY_RANK + 2] += 2  # dd
     assert np.allclose(inside[inside > 0], model.mass[inside > 0])
 
 
