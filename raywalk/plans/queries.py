@@ -163,8 +163,8 @@ def crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Points, crossings (kept, as density, matching and edges read them) and nodes."""
-    plane = points(spark, sf_dir)
+    """Points and crossings (kept, as density, matching and edges read them) and nodes."""
+    plane = pipeline.kept(points(spark, sf_dir))
     hits = pipeline.kept(polar.intersections(plane, P.segments, P.scale, CHUNK))
     return plane, hits, density.extract_nodes(hits, polar.extent(plane, P.scale), P.grid)
 
