@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: Microseconds of a bucket inside which neighbouring rows are paired.
 BUCKET = 3_600_000_000
 IDLE = 0.05
+#: Grid times of a bucket inside which running totals are made.
+BINS = 4096
 
 
 def micros(column: str) -> Column:
@@ -136,7 +138,8 @@ def phase_stats(phase_rows: DataFrame, utilisation: DataFrame, processors: DataF
 
 def transfer_curves(transfers: DataFrame, total: DataFrame, step_us: int) -> DataFrame:
     """For each processor and grid time with any traffic: bytes in the step, sent, received and looped back, and their running
-    totals. A transfer counts at the grid times strictly inside it, each with its rate times the step."""
+    totals. A transfer counts at the grid times strictly inside it, each with its rate times the step, cut to whole bytes: a
+    step longer than a transfer can miss it. Totals run inside buckets of grid times, so a long run is not one task."""
     rows = transfers.join(F.broadcast(total.select(F.col("start_us").alias("_zero"), F.col("end_us").alias("_end"))))
     rows = rows.withColumn("a", F.col("start_us") - F.col("_zero")).withColumn("b", F.least(F.col("end_us") - F.col("_zero"), F.col("_end") - F.col("_zero")))
     rows = rows.withColumn("_first", F.greatest(F.lit(1).cast("long"), F.floor(F.col("a") / step_us).cast("long") + 1)).withColumn("_last", F.ceil(F.col("b") / step_us).cast("long") - 1).where("_last >= _first")
@@ -144,10 +147,15 @@ def transfer_curves(transfers: DataFrame, total: DataFrame, step_us: int) -> Dat
     rows = rows.withColumn("part", part).withColumn("k", F.explode(F.sequence("_first", "_last")))
     who = F.when(F.col("source") == F.col("sink"), F.array(F.struct(F.col("source").alias("p"), F.lit("loop").alias("way")))).otherwise(F.array(F.struct(F.col("source").alias("p"), F.lit("sent").alias("way")), F.struct(F.col("sink").alias("p"), F.lit("received").alias("way"))))
     rows = rows.select("k", "part", F.inline(who))
-    sums = [F.sum(F.when(F.col("way") == w, F.col("part")).otherwise(0)).alias(n) for w, n in (("sent", "sent"), ("received", "received"), ("loop", "looped"))]
-    bins = rows.groupBy("p", "k").agg(*sums)
-    over = Window.partitionBy("p").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    return bins.select(F.col("p").alias("processor"), (F.col("k") * step_us / 1e6).alias("time_s"), "sent", "received", "looped", *(F.sum(c).over(over).alias(f"{c}_total") for c in ("sent", "received", "looped")))
+    ways = ["sent", "received", "looped"]
+    sums = [F.sum(F.when(F.col("way") == w, F.col("part")).otherwise(0)).alias(n) for w, n in zip(("sent", "received", "loop"), ways)]
+    bins = rows.groupBy("p", "k").agg(*sums).withColumn("_bucket", F.floor(F.col("k") / BINS).cast("long"))
+    earlier = Window.partitionBy("p").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = bins.groupBy("p", "_bucket").agg(*(F.sum(c).alias(c) for c in ways))
+    before = before.select("p", "_bucket", *(F.coalesce(F.sum(c).over(earlier), F.lit(0).cast("long")).alias(f"_{c}") for c in ways))
+    inside = Window.partitionBy("p", "_bucket").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    bins = bins.withColumns({f"{c}_total": F.sum(c).over(inside) for c in ways}).join(before, ["p", "_bucket"])
+    return bins.select(F.col("p").alias("processor"), (F.col("k") * step_us / 1e6).alias("time_s"), *ways, *((F.col(f"{c}_total") + F.col(f"_{c}")).alias(f"{c}_total") for c in ways))
 
 
 def machine_series(machine: DataFrame, run: DataFrame) -> DataFrame:

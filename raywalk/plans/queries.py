@@ -20,7 +20,8 @@ from raywalk.sources import dumps, runlog, series
 P = Params()
 LAG, SMALL = 8, 6
 STEP = 3_600_000_000
-CURVE = 600_000_000
+#: Transfers last whole seconds, one at least: in bins of a second every transfer counts, for as many bins as it has seconds.
+CURVE = 1_000_000
 CHUNK = 16_384
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
