@@ -28,3 +28,16 @@ def test_totals_run_over_buckets(spark, monkeypatch):
     monkeypatch.setattr(runstats, "BINS", 2)
     assert sorted(map(tuple, runstats.transfer_curves(moved, total, 1_000_000).collect())) == whole
     assert [r for r in whole if r[0] == "a"][-1] == ("a", 13.0, 0, 0, 3, 60, 30, 9)
+
+
+def test_the_grid_reads_every_measurement(spark):
+    run = queries.total(spark, SF.replace("0.001", "0.01")).first()["start_us"]
+    rows = queries.machine(spark, SF.replace("0.001", "0.01")).select("processor", (F.col("at_us") - run).alias("t")).orderBy("processor", "t").collect()
+    triples = [(a["t"], c["t"]) for a, _, c in zip(rows, rows[1:], rows[2:]) if a["processor"] == c["processor"]]
+    assert len(triples) > 9000 and all((c - 1) // queries.STEP > a // queries.STEP for a, c in triples)
+
+
+def test_step_maxima_are_those_of_the_measurements(spark):
+    most = queries.machine(spark, SF).agg(F.max("used_memory")).first()[0]
+    found = queries.step_stats(spark, SF).agg(F.max("max_memory")).first()[0]
+    assert 0.999 * most <= found <= most
