@@ -17,7 +17,7 @@ alternating large-star and small-star. In detail:
 A pair of exactly the threshold shares no band with probability (1 - t**rows)**bands, under 1e-5 for
 the defaults at 0.8.
 
-Defined results: null, empty or blank text has no set, is linked with nothing and is its own component; a text
+Defined results: null, empty or blank text has no set, is linked with nothing and, if its key has no other text, is its own component; a text
 of fewer words than a shingle is one shingle as a whole; a null key is linked with nothing, has a
 null component and is kept; rows that repeat a key each get a row, and a key with several texts is one document that
 has the links of all of them; an empty table gives no rows; only the key of the input is returned.
@@ -283,12 +283,24 @@ def link(df: DataFrame, text: str = "text", key: str = "doc_id", params: Params
     comps = components(links)
     tested = estimated.join(links, ["a", "b"], "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
     rest = shared.write_table(_in_blocks(df, members, tested, comps, reps, text, key, p), "rest")
-    if not rest.isEmpty():
-        comps = components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).union(rest))
-    for used in (members, estimated, rest):
+    prints_of = prints.where("id IS NOT NULL").groupBy("id").agg(F.min(F.struct("f1", "f2")).alias("least"), F.max(F.struct("f1", "f2")).alias("most"))
+    several = shared.write_table(prints_of.where("least != most").select("id"), "several")
+    repeated = not several.isEmpty()
+    if repeated:  # a key's several classes are linked by the key as a node
+        texts = prints.where("n > 0").select("id", "f1", "f2").distinct().join(several, "id")
+        more = rest.union(texts.join(reps.select("f1", "f2", F.col("id").alias("rep")), ["f1", "f2"]).select("id", "rep"))
+    else:
+        more = rest
+    if repeated or not rest.isEmpty():
+        comps = components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    for used in (members, estimated, rest, several):
         shared.drop_table(used)
     named = reps.select("f1", "f2", F.col("id").alias("rep")).join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("component"))
     some = prints.where("n > 0").select("id", "n", "f1", "f2").join(named, ["f1", "f2"], "left").select("id", "n", "component")
-    none = prints.where("n = 0").select("id", "n", F.col("id").alias("component"))
+    none = prints.where("n = 0").select("id", "n")
+    if repeated:
+        none = none.join(comps.withColumnRenamed("node", "id"), "id", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
+    else:
+        none = none.withColumn("component", F.col("id"))
     whole = some.unionByName(none).withColumn("component", F.when(F.col("id").isNotNull(), F.col("component")))
     return whole.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
