@@ -18,7 +18,7 @@ from raywalk.plans import pipeline
 from raywalk.sources import dumps, runlog, series
 
 P = Params()
-LAG, SMALL = 8, 6
+LAG, SMALL = 8, P.width
 #: Measurements of a processor are some 100 s apart at sf0.1, 1 % of them under a second: nearly all are next to a grid time, which reads them.
 STEP = 1_000_000
 #: Transfers last whole seconds, one at least: in bins of a second every transfer counts, for as many bins as it has seconds.
