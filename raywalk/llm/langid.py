@@ -5,13 +5,15 @@ Each language has a binary codeword. For each bit, a naive Bayes classifier on h
 the codeword of least loss: a logistic loss of each bit's margin, weighted by how well
 that bit does on the sample. A small lead of the best codeword flags the text as ambiguous.
 
-The models are fitted on a sample of about ``per_language`` labelled rows for each language (all, if
-there are fewer), taken by a hash of key and text, so that it is the same on every run.
+The models are fitted on a sample of about ``per_language`` different labelled texts for each language (all, if
+there are fewer), taken by a hash of the text, so that it is the same on every run and however often a text or a
+key is repeated. Languages are any number: the driver holds one language's counts at a time.
 
 Defined results: a null or empty text, or one without a letter, is ``und`` with score 0 and
 ambiguous; rows without text or language teach nothing; with no labelled rows at all every text is ``und``;
 with one language, every text with a letter is of it; equal losses go to the language that sorts
-first; repeated rows are judged each for itself; a column named like a result is replaced.
+first; a language whose sampled texts are all under three bytes isn't learnt; repeated rows are judged each for
+itself and teach once; a column named like a result is replaced, any other name may occur in the input.
 """
 
 from __future__ import annotations
@@ -30,10 +32,8 @@ from raywalk.llm.text import buffers, windows
 
 UND = "und"
 BITS = 16
-#: Sample rows for each language.
+#: Sample texts for each language.
 PER_LANGUAGE = 1000
-#: Labels that a model may have.
-MAX_LANGUAGES = 2000
 #: Lead in loss over the second language, a bit, under which a text is ambiguous.
 MIN_LEAD = 0.05
 
@@ -95,8 +95,11 @@ class Model:
             index = grams(data[offsets[i] : offsets[j]])
             for k in range(j - i):
                 n = at[k + 1] - at[k] - 2
-                if n > 0:
-                    out[i + k] = self.weights[index[at[k] : at[k] + n]].sum(axis=0) / np.sqrt(n)
+                own = index[at[k] : at[k] + max(n, 0)]
+                if n > 1 << BITS:  # a long text by counts, in memory that doesn't grow with it
+                    out[i + k] = np.bincount(own, minlength=1 << BITS) @ self.weights.astype(float) / np.sqrt(n)
+                elif n > 0:
+                    out[i + k] = self.weights[own].sum(axis=0) / np.sqrt(n)
         return out
 
     def losses(self, margins: np.ndarray) -> np.ndarray:
@@ -107,54 +110,61 @@ class Model:
         return out
 
 
-def sample(df: DataFrame, text: str, label: str, key: str, train: Column, per_label: int) -> DataFrame:
-    """About ``per_label`` rows of each label among ``train``, by a hash of key and label: bounded in expectation."""
-    rows = df.where(train & F.col(label).isNotNull() & F.col(text).isNotNull())
-    counts = rows.groupBy(label).count().limit(MAX_LANGUAGES + 1).collect()
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} labels")
-    spark = df.sparkSession
-    rates = spark.createDataFrame([(r[0], min(1.0, per_label / r["count"])) for r in counts], T.StructType([T.StructField("_label", df.schema[label].dataType), T.StructField("_rate", T.DoubleType())]))
-    draw = F.pmod(F.xxhash64(F.col(key), F.lit("draw")), F.lit(1 << 30)) / float(1 << 30)
-    picked = rows.join(F.broadcast(rates), F.col(label) == F.col("_label")).where(draw < F.col("_rate"))
-    return picked.select(F.col(label).alias("label"), F.col(text).alias("text"))
+def sample(df: DataFrame, text: str, label: str, train: Column, per_label: int) -> DataFrame:
+    """``label`` and ``text`` of about ``per_label`` different texts of each label among the ``train`` rows, by a hash of
+    the text: bounded in expectation, as a text that is repeated is drawn once or not at all."""
+    rows = df.where(train).select(F.col(label).cast("string").alias("label"), F.col(text).alias("text")).where("label IS NOT NULL AND text IS NOT NULL")
+    counts = rows.groupBy("label").count().withColumn("rate", F.least(F.lit(1.0), F.lit(float(per_label)) / F.col("count"))).select("label", "rate")
+    draw = F.pmod(F.xxhash64("text", F.lit("draw")), F.lit(1 << 30)) / float(1 << 30)
+    return rows.join(F.broadcast(counts), "label").where(draw < F.col("rate")).select("label", "text").distinct()
 
 
-def fit(df: DataFrame, train: Column, text: str = "text", label: str = "lang", key: str = "doc_id", per_language: int = PER_LANGUAGE) -> Model:
+def fit(df: DataFrame, train: Column, text: str = "text", label: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
     """Fit on a bounded sample of the rows where ``train`` holds."""
     shared.bounded_batches(df.sparkSession)
-    rows = shared.write_table(sample(df, text, label, key, train, per_language).coalesce(8), "langid-sample")
-    schema = T.StructType([T.StructField("label", df.schema[label].dataType), T.StructField("gram", T.IntegerType()), T.StructField("n", T.LongType())])
-    kind = pa.string()
+    rows = shared.write_table(sample(df, text, label, train, per_language), "langid-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, np.ndarray] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for name, total in found.items():
+                some = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(total[some])], ["label", "gram", "n"])
+            found.clear()
+
         for batch in batches:
             data, offsets = buffers(batch.column("text"))
             for k, name in enumerate(batch.column("label").to_pylist()):
-                index = grams(data[offsets[k] : offsets[k + 1]])
+                if name not in found and len(found) == 100:
+                    yield from out()
                 total = found.setdefault(name, np.zeros(1 << BITS, np.int64))
-                total += np.bincount(index, minlength=1 << BITS)
-        for name, total in found.items():
-            some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(some), kind), pa.array(some.astype(np.int32)), pa.array(total[some])], ["label", "gram", "n"])
+                total += np.bincount(grams(data[offsets[k] : offsets[k + 1]]), minlength=1 << BITS)
+        yield from out()
+
+    def dense(table: pa.Table) -> pa.Table:
+        total = np.zeros(1 << BITS, np.int64)
+        total[table["gram"].to_numpy()] = table["n"].to_numpy()
+        return pa.table({"label": table["label"][:1], "n": pa.array([total.tobytes()], pa.binary())})
 
-    counts = rows.mapInArrow(count, schema).groupBy("label", "gram").agg(F.sum("n").alias("n")).toPandas()
-    names = sorted(counts["label"].unique().tolist())
+    counts = rows.mapInArrow(count, "label string, gram int, n long").groupBy("label", "gram").agg(F.sum("n").alias("n"))
+    counts = shared.write_table(counts.groupBy("label").applyInArrow(dense, "label string, n binary"), "langid-counts")
+    names = sorted(r["label"] for r in counts.select("label").collect())  # the languages that the model tells apart
     code = codewords(len(names))
-    share = np.full((len(names), 1 << BITS), 0.5)
-    for k, name in enumerate(names):
-        own = counts[counts["label"] == name]
-        share[k, own["gram"].to_numpy()] += own["n"].to_numpy()
-    share /= share.sum(axis=1, keepdims=True)
-    weights = np.zeros((1 << BITS, code.shape[1]), np.float32)
-    for b in range(code.shape[1]):
-        one = code[:, b] == 1
-        weights[:, b] = np.log(share[one].mean(axis=0)) - np.log(share[~one].mean(axis=0))
+    one, zero = (np.zeros((1 << BITS, code.shape[1])) for _ in range(2))
+    for r in counts.orderBy("label").toLocalIterator():
+        share = np.frombuffer(r["n"], np.int64) + 0.5
+        share /= share.sum()
+        bits = code[names.index(r["label"])] == 1
+        one[:, bits] += share[:, None]
+        zero[:, ~bits] += share[:, None]
+    ones = code.sum(axis=0)
+    weights = (np.log(one / ones) - np.log(zero / (len(names) - ones))).astype(np.float32)
     model = Model(names, code, weights, np.ones(code.shape[1]))
     if code.shape[1]:
         model.trust = _trust(rows, model)
     shared.drop_table(rows)
+    shared.drop_table(counts)
     return model
 
 
@@ -164,12 +174,12 @@ def _trust(rows: DataFrame, model: Model) -> np.ndarray:
 
     def right(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
+        place = {name: k for k, name in enumerate(m.languages)}
         for batch in batches:
-            margins = m.margins(*buffers(batch.column("text")))
-            names = batch.column("label").to_pylist()
-            truth = m.code[[m.languages.index(x) for x in names]] == 1
-            hits = ((margins > 0) == truth).sum(axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(hits), dtype=np.int32)), pa.array(hits.astype(np.int64)), pa.array(np.full(len(hits), len(names), np.int64))], ["bit", "hits", "n"])
+            of = np.array([place.get(x, -1) for x in batch.column("label").to_pylist()], np.int64)
+            margins, of = m.margins(*buffers(batch.column("text")))[of >= 0], of[of >= 0]
+            hits = ((margins > 0) == (m.code[of] == 1)).sum(axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(hits), dtype=np.int32)), pa.array(hits.astype(np.int64)), pa.array(np.full(len(hits), len(of), np.int64))], ["bit", "hits", "n"])
 
     got = rows.mapInArrow(right, "bit int, hits long, n long").groupBy("bit").agg(F.sum("hits").alias("hits"), F.sum("n").alias("n")).toPandas().sort_values("bit")
     rate = (got["hits"].to_numpy() + 1) / (got["n"].to_numpy() + 2)
@@ -183,13 +193,14 @@ def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     sent = df.sparkSession.sparkContext.broadcast(model)
     made = ["lang_pred", "score", "lead", "ambiguous"]
     names = [c for c in df.columns if c not in made]
-    lettered = df.select(*(F.col(f"`{c}`") for c in names), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_letter"))
+    flag = shared.free_name(df, "_letter")
+    lettered = df.select(*(F.col(f"`{c}`") for c in names), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias(flag))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for batch in batches:
             n = batch.num_rows
-            some = batch.column("_letter").to_numpy(zero_copy_only=False).astype(bool) & (len(m.languages) > 0)
+            some = batch.column(flag).to_numpy(zero_copy_only=False).astype(bool) & (len(m.languages) > 0)
             best, score, lead = np.zeros(n, np.int64), some.astype(float), np.where(some, np.inf, 0.0)
             if len(m.languages) > 1 and n:
                 loss = m.losses(m.margins(*buffers(batch.column(text))))

@@ -54,13 +54,22 @@ def drop_table(df: DataFrame) -> None:
 
 def bounded_batches(spark: SparkSession) -> None:
     """Before Python runs on executors: ship the package where it is missing, and let Arrow batches
-    of whole texts stay small, unless the session asks for smaller ones still."""
+    of whole texts stay small, unless the session asks for smaller ones still. The setting stays for the session, as
+    frames run after the call that made them."""
     ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > BATCH_ROWS or int(spark.conf.get(key, "10000")) <= 0:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
