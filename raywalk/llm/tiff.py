@@ -5,8 +5,10 @@ directories, strips or tiles, chunky or planar samples of 8 or 16 bits, compress
 LZW (5), deflate (8 and 32946) or PackBits (32773), and predictor 1 or 2. One row per page.
 
 Defined results: null or empty media have no pages; bytes that are no TIFF, a directory chain that
-loops and unsupported features give one row with ``error`` set instead of failing the job;
-repeated rows are read each for itself; a column named like a result is replaced.
+loops, strips or tiles that are cut short and unsupported features give one row with ``error`` set, after
+the pages before it, instead of failing the job; a page may have as many bytes as a row of Spark can (``PAGE_BYTES``), and
+what it claims is checked against the bytes that are there before memory is taken; an empty or very long text is stored like any other,
+a page for each 256 KB; repeated rows are read each for itself; an empty table gives no rows; a column named like a result is replaced.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from raywalk.llm import shared
@@ -28,7 +31,13 @@ NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 NAMES = {NONE: "none", LZW: "lzw", DEFLATE: "deflate", OLD_DEFLATE: "deflate", PACKBITS: "packbits"}
 #: Bytes of each field type.
 _SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
-WIDTH, PAGE_ROWS, STRIP_ROWS, TILE = 64, 4096, 1024, 64
+WIDTH, PAGE_ROWS, STRIP_ROWS, TILE = 64, 4096, 1024, 32
+#: Most bytes of a page's pixels: a binary cell of a row holds no more.
+PAGE_BYTES = (1 << 31) - 1024
+#: Most bytes that a stored byte can stand for: deflate's is the largest of all codecs but LZW, whose codes of 12 bits stand for up to 4096 each.
+_GROWTH = {NONE: 1, LZW: 4096, DEFLATE: 1040, OLD_DEFLATE: 1040, PACKBITS: 64}
+#: Bytes of pixels that a batch of pages holds before it is passed on.
+BATCH_BYTES = 8 << 20
 
 
 class TiffError(ValueError):
@@ -54,31 +63,24 @@ class Page:
 def packbits_encode(data: bytes) -> bytes:
     """Runs of three or more equal bytes are stored as a count and the byte, the rest as counted literals."""
     a = np.frombuffer(data, np.uint8)
-    if not len(a):
-        return b""
-    at = np.concatenate([[0], np.flatnonzero(a[1:] != a[:-1]) + 1, [len(a)]])
-    out, plain = bytearray(), bytearray()
-
-    def flush() -> None:
-        for i in range(0, len(plain), 128):
-            part = plain[i : i + 128]
-            out.append(len(part) - 1)
-            out.extend(part)
-        plain.clear()
-
-    for s, e in zip(at[:-1].tolist(), at[1:].tolist()):
-        n = e - s
-        if n < 3:
-            plain.extend(data[s:e])
-            continue
-        flush()
-        while n > 1:
-            k = min(n, 128)
+    out, at = bytearray(), 0
+
+    def literals(upto: int) -> None:
+        for i in range(at, upto, 128):
+            j = min(i + 128, upto)
+            out.append(j - i - 1)
+            out.extend(data[i:j])
+
+    edges = np.concatenate([[0], np.flatnonzero(a[1:] != a[:-1]) + 1, [len(a)]]) if len(a) else np.zeros(1, np.int64)
+    long = np.flatnonzero(np.diff(edges) > 2)
+    for s, e in zip(edges[long].tolist(), edges[long + 1].tolist()):
+        literals(s)
+        while e - s > 1:
+            k = min(e - s, 128)
             out += bytes((257 - k, data[s]))
-            n -= k
-        if n:
-            plain.append(data[s])
-    flush()
+            s += k
+        at = s  # one byte of the run may be left, as a literal
+    literals(len(data))
     return bytes(out)
 
 
@@ -97,75 +99,82 @@ def packbits_decode(data: bytes, size: int) -> bytes:
     return bytes(out[:size])
 
 
+def _code_widths(first: int, n: int) -> np.ndarray:
+    """Bits of codes number ``first`` to ``first + n`` after a clear code: one entry joins the table of 258 with each."""
+    free = 258 + first + np.arange(n)
+    return 9 + (free >= 512) + (free >= 1024) + (free >= 2048)
+
+
 def lzw_encode(data: bytes) -> bytes:
     """Codes of 9 to 12 bits, most significant bit first; a clear code first and whenever the table fills."""
-    out, held, bits = bytearray(), 0, 0
-    single = {bytes((i,)): i for i in range(256)}
-
-    def put(code: int, width: int) -> None:
-        nonlocal held, bits
-        held, bits = held << width | code, bits + width
-        while bits >= 8:
-            bits -= 8
-            out.append(held >> bits & 255)
-        held &= (1 << bits) - 1
-
-    table, free, width, have = dict(single), 258, 9, b""
-    put(256, 9)
-    for i in range(len(data)):
-        more = have + data[i : i + 1]
-        if more in table:
-            have = more
+    parts: list[list[int]] = []  # codes from one clear code to the next, which ends the part
+    codes: list[int] = []
+    table: dict[int, int] = {}
+    free, have = 258, -1
+    for c in data:
+        if have < 0:
+            have = c
             continue
-        put(table[have], width)
-        table[more] = free
+        key = have << 8 | c
+        got = table.get(key)
+        if got is not None:
+            have = got
+            continue
+        codes.append(have)
+        table[key] = free
         free += 1
         if free == 4095:
-            put(256, width)
-            table, free, width = dict(single), 258, 9
-        elif free > (1 << width) - 1:
-            width += 1
-        have = data[i : i + 1]
-    if have:
-        put(table[have], width)
-        free += 1
-        if free > (1 << width) - 1 and width < 12:
-            width += 1
-    put(257, width)
-    if bits:
-        out.append(held << (8 - bits) & 255)
-    return bytes(out)
+            codes.append(256)
+            parts.append(codes)
+            codes, table, free = [], {}, 258
+        have = c
+    if have >= 0:
+        codes.append(have)
+    parts.append([*codes, 257])
+    code = np.array([256, *(c for p in parts for c in p)])
+    width = np.concatenate([[9], *(_code_widths(0, len(p)) for p in parts)])
+    place = np.arange(12)
+    bits = code[:, None] >> np.maximum(width[:, None] - 1 - place, 0) & 1
+    return np.packbits(bits[place < width[:, None]].astype(np.uint8)).tobytes()
 
 
 def lzw_decode(data: bytes, size: int) -> bytes:
-    out, held, bits, at, n, got = [], 0, 0, 0, len(data), 0
+    raw = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.int64)
+    total, out, got, at = 8 * len(data), [], 0, 0
     first = [bytes((i,)) for i in range(256)] + [b"", b""]
-    table, width, last = list(first), 9, b""
+    table, seen, last = list(first), 0, b""
     while got < size:
-        while bits < width:
-            if at >= n:
-                return b"".join(out)
-            held, bits, at = (held << 8 | data[at]) & 0xFFFFFF, bits + 8, at + 1
-        bits -= width
-        code = held >> bits & ((1 << width) - 1)
-        if code == 256:
-            table, width, last = list(first), 9, b""
-            continue
-        if code == 257:
+        # codes up to the next clear code: their widths follow from their number
+        width = _code_widths(seen, min(4096, 16 + 2 * (size - got)))
+        ends = at + np.cumsum(width)
+        width, ends = width[ends <= total], ends[ends <= total]
+        if not len(ends):
+            break
+        start = ends - width
+        low = start >> 3
+        code = ((raw[low] << 16 | raw[low + 1] << 8 | raw[low + 2]) >> (24 - (start & 7) - width)) & ((1 << width) - 1)
+        stop = np.flatnonzero((code == 256) | (code == 257))
+        n = int(stop[0]) if len(stop) else len(code)
+        for c in code[:n].tolist():
+            if c < len(table):
+                entry = table[c]
+            elif c == len(table) and last:
+                entry = last + last[:1]
+            else:
+                raise TiffError("bad LZW code")
+            out.append(entry)
+            got += len(entry)
+            if last and len(table) < 4096:
+                table.append(last + entry[:1])
+            last = entry
+            if got >= size:
+                break
+        if n < len(code) and code[n] == 257:
             break
-        if code < len(table):
-            entry = table[code]
-        elif code == len(table) and last:
-            entry = last + last[:1]
+        if n < len(code):
+            table, seen, last, at = list(first), 0, b"", int(ends[n])
         else:
-            raise TiffError("bad LZW code")
-        out.append(entry)
-        got += len(entry)
-        if last:
-            table.append(last + entry[:1])
-        last = entry
-        if len(table) + 1 > (1 << width) - 1 and width < 12:
-            width += 1
+            seen, at = seen + n, int(ends[-1])
     return b"".join(out)[:size]
 
 
@@ -180,7 +189,19 @@ def _packed(block: np.ndarray, compression: int, predictor: int) -> bytes:
     if compression == LZW:
         return lzw_encode(data)
     if compression == PACKBITS:  # a row is packed for itself
-        return b"".join(packbits_encode(row.tobytes()) for row in block)
+        w = block.shape[1]
+        runs = ((block[:, 2:] == block[:, 1:-1]) & (block[:, 1:-1] == block[:, :-2])).any(axis=1).tolist() if w > 2 else [False] * len(block)
+        rows = (data[i * w : i * w + w] for i in range(len(block)))
+        plain, made = bytes((min(w, 128) - 1,)), {}
+        out = []
+        for row, run in zip(rows, runs):
+            if not run and w <= 128:
+                out += (plain, row)
+            else:
+                if row not in made:
+                    made[row] = packbits_encode(row)
+                out.append(made[row])
+        return b"".join(out)
     return data
 
 
@@ -247,8 +268,12 @@ def _directory(data: bytes, at: int, e: str) -> tuple[dict[int, list], int]:
 
 
 def _decoded(raw: bytes, compression: int, size: int) -> bytes:
+    if compression not in NAMES:
+        raise TiffError(f"compression {compression} isn't supported")
     if compression == NONE:
         return raw[:size]
+    if size > _GROWTH.get(compression, 0) * (len(raw) + 8):
+        raise TiffError("a strip or tile is too short")
     if compression in (DEFLATE, OLD_DEFLATE):
         try:
             return zlib.decompressobj().decompress(raw, size) if size else b""
@@ -256,9 +281,7 @@ def _decoded(raw: bytes, compression: int, size: int) -> bytes:
             raise TiffError(f"bad deflate data: {x}") from None
     if compression == LZW:
         return lzw_decode(raw, size)
-    if compression == PACKBITS:
-        return packbits_decode(raw, size)
-    raise TiffError(f"compression {compression} isn't supported")
+    return packbits_decode(raw, size)
 
 
 def read_pages(data: bytes) -> Iterator[Page]:
@@ -279,21 +302,30 @@ def read_pages(data: bytes) -> Iterator[Page]:
 def _page(data: bytes, tags: dict[int, list], index: int, e: str) -> Page:
     if 256 not in tags or 257 not in tags:
         raise TiffError("no width or height")
+    for tag in (256, 257, 258, 259, 273, 277, 278, 279, 284, 317, 322, 323, 324, 325):
+        if any(not isinstance(v, int) or v < 0 for v in tags.get(tag, ())):
+            raise TiffError(f"field {tag} isn't a whole number")
     one = lambda tag, default: (tags.get(tag) or [default])[0]
     w, h, samples, bits = one(256, 0), one(257, 0), one(277, 1), one(258, 1)
     compression, predictor, planar = one(259, 1), one(317, 1), one(284, 1)
     if bits not in (8, 16) or len(set(tags.get(258, [bits]))) > 1 or predictor not in (1, 2):
         raise TiffError(f"{bits} bits with predictor {predictor} aren't supported")
-    if w * h * samples * bits // 8 > 1 << 31:
+    if not w or not h or not samples or planar not in (1, 2):
+        raise TiffError("a page without pixels")
+    if w * h * samples * bits // 8 > PAGE_BYTES:
         raise TiffError("the page is larger than 2 GB")
     kind = np.dtype(np.uint8) if bits == 8 else np.dtype(np.uint16).newbyteorder(e)
     tiled = 324 in tags
     bh, bw = (one(323, 0), one(322, 0)) if tiled else (min(one(278, h), h), w)
     where, sizes = (tags.get(324), tags.get(325)) if tiled else (tags.get(273), tags.get(279))
     planes, deep = (samples, 1) if planar == 2 else (1, samples)
-    rows, across = (-(-h // bh) if bh else 0), (-(-w // bw) if bw else 0)
+    if not bh or not bw or (tiled and (bh > 2 * h + 4096 or bw > 2 * w + 4096)):
+        raise TiffError("strips or tiles of no sensible size")
+    rows, across = -(-h // bh), -(-w // bw)
     if not where or not sizes or len(where) != len(sizes) or len(where) < rows * across * planes:
         raise TiffError("strips or tiles are missing")
+    if w * h * samples * kind.itemsize > _GROWTH.get(compression, 0) * (sum(sizes) + 8 * len(sizes)) or sum(sizes) > len(data):
+        raise TiffError("strips or tiles that the file can't hold")
     out = np.zeros((h, w, samples), kind)
     for k in range(rows * across * planes):
         plane, rest = divmod(k, rows * across)
@@ -301,7 +333,9 @@ def _page(data: bytes, tags: dict[int, list], index: int, e: str) -> Page:
         high = bh if tiled else min(bh, h - y)
         size = high * bw * deep * kind.itemsize
         raw = _decoded(data[where[k] : where[k] + sizes[k]], compression, size)
-        block = np.frombuffer(raw.ljust(size, b"\0"), kind).reshape(high, bw, deep)
+        if len(raw) < size:
+            raise TiffError(f"a strip or tile has {len(raw)} of {size} bytes")
+        block = np.frombuffer(raw, kind).reshape(high, bw, deep)
         if predictor == 2:
             block = np.cumsum(block, axis=1, dtype=kind.newbyteorder("="))
         cut = block[: h - y, : w - x]
@@ -313,31 +347,37 @@ def _page(data: bytes, tags: dict[int, list], index: int, e: str) -> Page:
 
 
 def store(payload: bytes) -> bytes:
-    """Bytes, a positive multiple of 64 of them, as grey rows of 64 samples: up to 1 KB as PackBits,
-    every fifth size up to 4 KB as LZW with predictor 2, all else as deflate, over 64 KB in tiles with
-    predictor 2; a page for each 256 KB."""
+    """Bytes, a positive multiple of 64 of them, as grey rows of 64 samples, a page for each 256 KB. A checksum of the bytes picks
+    codec (PackBits, LZW, deflate or none), predictor (for LZW and deflate) and strips or tiles, so texts of all
+    lengths meet all of them and equal texts are stored alike."""
     image = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
     pages = [image[i : i + PAGE_ROWS] for i in range(0, len(image), PAGE_ROWS)]
-    if len(payload) <= 1024:
-        return write_tiff(pages, PACKBITS)
-    if len(payload) <= 4096 and len(payload) % 5 == 0:
-        return write_tiff(pages, LZW, predictor=2)
-    if len(payload) > 65536:
-        return write_tiff(pages, DEFLATE, predictor=2, tile=TILE)
-    return write_tiff(pages, DEFLATE)
-
-
-def feature(pages: list[Page]) -> str:
-    """Page count, size, compression, mean, spread and the largest of 16 brightness bins."""
-    if not pages:
-        return "pages=0"
-    hist = sum(np.bincount(p.pixels.reshape(-1) >> (p.bits - 8), minlength=256) for p in pages)
-    total, level = int(hist.sum()), np.arange(256)
-    mean = int((hist * level).sum()) * 1000 // max(total, 1)
-    square = int((hist * level * level).sum()) * 1000 // max(total, 1)
-    top = int(hist.reshape(16, 16).sum(axis=1).argmax())
-    p = pages[0]
-    return f"pages={len(pages)};size={p.width}x{sum(x.height for x in pages)};{NAMES[p.compression]};mean={mean};square={square};bin={top}"
+    mark = zlib.crc32(payload)
+    codec = (PACKBITS, LZW, DEFLATE, NONE, DEFLATE, PACKBITS, DEFLATE, NONE)[mark & 7]
+    predictor = 1 + (mark >> 3 & 1) if codec in (LZW, DEFLATE) else 1
+    return write_tiff(pages, codec, predictor, TILE if mark >> 4 & 1 else 0)
+
+
+class Features:
+    """Page count, size, compression, mean, mean square and the largest of 16 brightness bins, page by page."""
+
+    def __init__(self):
+        self.hist, self.pages, self.rows, self.width, self.name = np.zeros(256, np.int64), 0, 0, 0, ""
+
+    def add(self, pixels: np.ndarray, bits: int, width: int, height: int, name: str) -> None:
+        self.hist += np.bincount((pixels >> (bits - 8)).astype(np.uint8), minlength=256)
+        if not self.pages:
+            self.width, self.name = width, name
+        self.pages, self.rows = self.pages + 1, self.rows + height
+
+    def text(self) -> str:
+        if not self.pages:
+            return "pages=0"
+        total, level = int(self.hist.sum()), np.arange(256)
+        mean = int((self.hist * level).sum()) * 1000 // max(total, 1)
+        square = int((self.hist * level * level).sum()) * 1000 // max(total, 1)
+        top = int(self.hist.reshape(16, 16).sum(axis=1).argmax())
+        return f"pages={self.pages};size={self.width}x{self.rows};{self.name};mean={mean};square={square};bin={top}"
 
 
 def encode_texts(df: DataFrame, text: str = "text", out: str = "media") -> DataFrame:
@@ -347,8 +387,8 @@ def encode_texts(df: DataFrame, text: str = "text", out: str = "media") -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             media, sizes = [], []
-            for t in batch.column(text).to_pylist():
-                raw = (t or "").encode()
+            for t in batch.column(text):
+                raw = t.as_buffer().to_pybytes() if t.is_valid else b""
                 sizes.append(len(raw))
                 media.append(store(raw.ljust(max(1, -(-len(raw) // WIDTH)) * WIDTH, b"\0")))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], [*names, "n_bytes", out])
@@ -358,55 +398,86 @@ def encode_texts(df: DataFrame, text: str = "text", out: str = "media") -> DataF
     return df.mapInArrow(run, T.StructType([*kept, T.StructField("n_bytes", T.LongType()), T.StructField(out, T.BinaryType())]))
 
 
-
-def _read_all(data: bytes | None) -> list[tuple]:
-    found = []
-    if data:
-        try:
-            for p in read_pages(data):
-                found.append((p.index, p.width, p.height, p.samples, p.bits, NAMES[p.compression], p.tiled, p.bytes(), None))
-        except TiffError as x:
-            found.append((len(found), None, None, None, None, None, None, None, str(x)))
-    return found
+def _read_all(data: bytes) -> Iterator[tuple]:
+    k = 0
+    try:
+        for p in read_pages(data):
+            yield (p.index, p.width, p.height, p.samples, p.bits, NAMES[p.compression], p.tiled, p.bytes(), None)
+            k += 1
+    except (TiffError, struct.error, ValueError, TypeError, IndexError, OverflowError, MemoryError, zlib.error) as x:
+        yield (k, None, None, None, None, None, None, None, str(x) or type(x).__name__)
 
 
 def pages(df: DataFrame, media: str = "media") -> DataFrame:
-    """One row per page: ``page``, ``width``, ``height``, ``samples``, ``bits``, ``compression``, ``tiled``, ``pixels``, ``error``."""
+    """One row per page: ``page``, ``width``, ``height``, ``samples``, ``bits``, ``compression``, ``tiled``, ``pixels``, ``error``. The pages
+    of a row follow one another in one partition."""
     shared.bounded_batches(df.sparkSession)
     fields = ["page", "width", "height", "samples", "bits", "compression", "tiled", "pixels", "error"]
     names = [c for c in df.columns if c not in fields and c != media]
-    kinds = [pa.int32()] * 5 + [pa.string(), pa.bool_(), pa.binary(), pa.string()]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.binary(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, data in enumerate(batch.column(media).to_pylist()):
-                if found := _read_all(data):
-                    same = batch.slice(i, 1).take(pa.array([0] * len(found)))
-                    made = [pa.array(column, kind) for column, kind in zip(zip(*found), kinds)]
-                    yield pa.RecordBatch.from_arrays([*(same.column(c) for c in names), *made], [*names, *fields])
+            rest, of, held, size = batch.select(names), [], [], 0
+
+            def out() -> pa.RecordBatch:
+                same = rest.take(pa.array(of, pa.int64()))
+                made = [pa.array(column, kind) for column, kind in zip(zip(*held), kinds)]
+                return pa.RecordBatch.from_arrays([*same.columns, *made], [*names, *fields])
+
+            for i, data in enumerate(batch.column(media)):
+                for found in _read_all(data.as_py()) if data.is_valid and len(data.as_buffer()) else ():
+                    of.append(i)
+                    held.append(found)
+                    size += len(found[7] or b"")
+                    if size > BATCH_BYTES:
+                        yield out()
+                        of, held, size = [], [], 0
+            if held:
+                yield out()
 
     kept = [T.StructField(f.name, f.dataType, True) for f in df.schema.fields if f.name in names]
-    sql = [T.IntegerType()] * 5 + [T.StringType(), T.BooleanType(), T.BinaryType(), T.StringType()]
+    sql = [T.IntegerType(), T.LongType(), T.LongType(), T.IntegerType(), T.IntegerType(), T.StringType(), T.BooleanType(), T.BinaryType(), T.StringType()]
     return df.mapInArrow(run, T.StructType([*kept, *(T.StructField(n, k) for n, k in zip(fields, sql))]))
 
 
 def payload_digests(df: DataFrame, media: str = "media") -> DataFrame:
-    """Read the stored bytes back and add size and digests of the pixels, of their last 64 bytes and of the file, and ``feature``."""
-    names = [c for c in df.columns if c not in (media, "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")]
+    """Read the stored bytes back, page by page, and add size and digests of the pixels, of their last 64 bytes and of the file, and ``feature``. A
+    row without media has no pages and isn't returned; one that can't be read raises."""
+    made = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    names = [c for c in df.columns if c != media and c not in made]
+    stored = df.select(*(F.col(f"`{c}`") for c in names), F.octet_length(media).cast("long").alias("media_bytes"), F.sha2(media, 256).alias("media_sha256"), F.col(media))
+    passed = [*names, "media_bytes", "media_sha256"]
+    read = pages(stored.select(F.struct(*(F.col(f"`{c}`") for c in passed)).alias("whole"), F.col(media)), media)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole, size, digest, tail, feature = None, 0, None, b"", None
         for batch in batches:
-            rows = []
-            for data in batch.column(media).to_pylist():
-                found = list(read_pages(data)) if data else []
-                payload = b"".join(p.bytes() for p in found)
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data or b""), hashlib.sha256(data or b"").hexdigest(), feature(found)))
-            columns = list(zip(*rows)) or [()] * 6
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            made = [pa.array(c, k) for c, k in zip(columns, kinds)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *made], [*names, "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    shared.bounded_batches(df.sparkSession)
-    kept = [T.StructField(f.name, f.dataType, True) for f in df.schema.fields if f.name in names]
-    more = [("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType())]
-    return df.mapInArrow(run, T.StructType([*kept, *(T.StructField(n, k) for n, k in more)]))
+            done = []
+            for k, (page, width, height, bits, name, error) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("page", "width", "height", "bits", "compression", "error")))):
+                if error is not None:
+                    raise TiffError(error)
+                pixels = batch.column("pixels")[k].as_buffer()
+                if page == 0:
+                    if whole is not None:
+                        done.append((whole, size, digest.hexdigest(), zlib.crc32(tail), feature.text()))
+                    whole, size, digest, tail, feature = batch.column("whole").slice(k, 1), 0, hashlib.sha256(), b"", Features()
+                digest.update(pixels)
+                size += len(pixels)
+                tail = (tail + bytes(pixels[-64:]))[-64:]
+                feature.add(np.frombuffer(pixels, np.uint8 if bits == 8 else np.uint16), bits, width, height, name)
+            if done:
+                yield _digested(done)
+        if whole is not None:
+            yield _digested([(whole, size, digest.hexdigest(), zlib.crc32(tail), feature.text())])
+
+    kept = [T.StructField("whole", read.schema["whole"].dataType)]
+    more = [("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("feature", T.StringType())]
+    out = read.select("whole", "page", "width", "height", "bits", "compression", "pixels", "error").mapInArrow(run, T.StructType([*kept, *(T.StructField(n, k) for n, k in more)]))
+    return out.select(*(F.col("whole").getField(c).alias(c) for c in names), *(F.col("whole").getField(c).alias(c) if c.startswith("media") else F.col(c) for c in made))
+
+
+def _digested(rows: list[tuple]) -> pa.RecordBatch:
+    wholes, *columns = zip(*rows)
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.concat_arrays(wholes), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["whole", "payload_bytes", "payload_sha256", "tail_crc32", "feature"])
