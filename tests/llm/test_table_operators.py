@@ -39,35 +39,71 @@ def test_sql(spark, tables, name):
 
 
 def best(ids, v, q, own, k):
-    order = sorted((-float(v[i] @ q), ids[i]) for i in range(len(ids)) if ids[i] != own)
-    return [(i, int(-s)) for s, i in order[:k]]
+    order = sorted((-sum(int(a) * int(b) for a, b in zip(v[i], q)), ids[i]) for i in range(len(ids)) if ids[i] != own)
+    return [(i, -s) for s, i in order[:k]]
+
+
+def searched(tree, queries, own, k, floors=None):
+    search = mtree.Search(tree.pages, tree.centre, tree.norm)
+    return [list(zip(i.tolist(), s)) for i, s in search.best(queries, own, k, floors)], search.computed
 
 
 @pytest.mark.parametrize("leaf, fanout", [(4, 3), (16, 5)])
-def test_tree_search_is_exact(leaf, fanout):
+@pytest.mark.parametrize("unit", [1.0, 2.0**24])
+def test_tree_search_is_exact(leaf, fanout, unit):
     rng = np.random.default_rng(5)
-    v = np.floor(np.concatenate([rng.normal(size=(150, 6)) * 20, rng.normal(size=(5, 6)).repeat(30, axis=0) * 30, np.zeros((10, 6))]))
+    v = np.floor(np.concatenate([rng.normal(size=(150, 6)) * 20, rng.normal(size=(5, 6)).repeat(30, axis=0) * 30, np.zeros((10, 6))]) * unit)
     ids = rng.permutation(len(v)) * 3
-    tree = mtree.MTree(ids, v, float(np.sqrt((v**2).sum(axis=1).max())) + 5, leaf, fanout)
-    for i in range(0, len(v), 7):
-        found, scores = tree.search(v[i], ids[i], 5)
-        assert list(zip(found.tolist(), scores.astype(int).tolist())) == best(ids, v, v[i], ids[i], 5)
+    tree = mtree.MTree(ids, v, leaf, fanout)
+    assert all(len(p[1]) <= max(leaf, fanout) for p in tree.pages)
+    some = np.arange(0, len(v), 7)
+    want = [best(ids, v, v[i], ids[i], 5) for i in some]
+    assert searched(tree, v[some], ids[some], 5)[0] == want
+    floors = [w[2][1] for w in want]
+    assert searched(tree, v[some], ids[some], 5, floors)[0] == [[x for x in w if x[1] >= f] for w, f in zip(want, floors)]
 
 
 def test_tree_saves_computations():
     rng = np.random.default_rng(6)
     v = np.floor((rng.normal(size=(20, 4)) * 200).repeat(100, axis=0) + rng.normal(size=(2000, 4)))
-    tree = mtree.MTree(np.arange(2000), v, float(np.sqrt((v**2).sum(axis=1).max())), 32, 8)
-    for i in range(20):
-        tree.search(v[i * 100], -1, 5)
-    assert tree.computed < 20 * 2000 / 2
+    tree = mtree.MTree(np.arange(2000), v, 32, 8)
+    assert sum(searched(tree, v[i * 100 : i * 100 + 1], np.array([-1]), 5)[1] for i in range(20)) < 20 * 2000 / 2
+
+
+def test_scores_beyond_float_are_whole_numbers(spark):
+    big = 2.0**28 / 256
+    data = [(50, [big, 7 / 256, 0.0]), (1, [big, 1 / 256, 0.0]), (2, [big, 0.0, 0.0]), (100, [2.0**60, 0.0, -1.0]), (3, [2.0**60, 0.0, 0.0]), (4, [1e307, 0.0, 0.0]), (5, [-1e200, 1.0, 0.0])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    for rows in (2, 100):
+        got = {(r["query_id"], r["vec_id"]): r["score"] for r in mtree.top_k(df, F.col("vec_id") % 50 == 0, k=9, tree_rows=rows).collect()}
+        assert got[50, 1] == 2**56 + 7 == 72057594037927943 and got[50, 2] == 2**56
+        assert got[100, 3] == mtree.MOST and got[100, 5] == mtree.LEAST and not any(4 in x for x in got) == ("inf" in str(1e307 * 256))
+
+
+def test_top_k_by_brute_force_over_many_trees(spark):
+    rng = np.random.default_rng(12)
+    v = np.concatenate([rng.normal(size=(30, 5)).repeat(20, axis=0) + rng.normal(size=(600, 5)) * 0.01, np.ones((300, 5))])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    count = spark.sparkContext.accumulator(0)
+    got = {}
+    for r in mtree.top_k(df, F.col("vec_id") % 50 == 0, tree_rows=60, leaf=8, fanout=4, counted=count).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    whole = np.floor(v * 256)
+    assert got == {i: best(list(range(900)), whole, whole[i], i, 5) for i in range(0, 900, 50)}
+    assert count.value < 18 * 900 * 0.6
+
+
+def test_text_keys_and_clashing_names(spark):
+    df = spark.createDataFrame([("a", [1.0], 1, 2, "x"), ("b", [2.0], 1, 2, "x"), ("b", [3.0], 1, 2, "x"), ("c", [0.5], 1, 2, "x")], "vec_id string, embedding array<double>, id int, v int, tree string")
+    got = mtree.top_k(df, F.col("vec_id") == "b", k=2, tree_rows=2).orderBy("rank").collect()
+    assert [tuple(r) for r in got] == [("b", 1, "a", 256 * 512), ("b", 2, "c", 128 * 512)]
 
 
 def test_top_k_edges(spark):
     nan, inf = float("nan"), float("inf")
     data = [(0, [1.0, 0.0]), (50, [1.0, 0.0]), (51, [1.0, 0.0]), (52, [0.5, 0.5]), (53, None), (54, [nan, 1.0]), (55, [inf, 1.0]), (56, [None, 1.0]), (100, [nan, 0.0]), (None, [1.0, 1.0]), (57, [1.0]), (57, [1.0]), (58, [])]
     df = spark.createDataFrame([(i, v, 9) for i, v in data], "vec_id long, embedding array<double>, score int")
-    got = mtree.top_k(df, F.col("vec_id") % 50 == 0, tree_rows=2, block_rows=1)
+    got = mtree.top_k(df, F.col("vec_id") % 50 == 0, tree_rows=2)
     by = {}
     for r in got.orderBy("query_id", "rank").collect():
         by.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
@@ -276,6 +312,58 @@ def test_media_query_by_brute_force(spark):
         media = tiff.store(payload)
         assert (r["n_bytes"], r["payload_bytes"], r["media_bytes"]) == (len(raw), len(payload), len(media))
         assert (r["payload_sha256"], r["tail_crc32"], r["media_sha256"]) == (hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), hashlib.sha256(media).hexdigest())
+        bins = [sum(x // 16 == k for x in payload) for k in range(16)]
+        mean, square = sum(payload) * 1000 // len(payload), sum(x * x for x in payload) * 1000 // len(payload)
+        codec = ("packbits", "lzw", "deflate", "none", "deflate", "packbits", "deflate", "none")[zlib.crc32(payload) % 8]
+        pages = -(-len(payload) // (64 * tiff.PAGE_ROWS))
+        assert r["feature"] == f"pages={pages};size=64x{len(payload) // 64};{codec};mean={mean};square={square};bin={bins.index(max(bins))}"
+
+
+def test_every_codec_meets_texts_of_every_length():
+    rng = np.random.default_rng(14)
+    for size in (64, 4096, 70_016):
+        met = set()
+        for _ in range(80):
+            payload = rng.integers(97, 101, size, dtype=np.uint8).tobytes()
+            (page,) = tiff.read_pages(tiff.store(payload))
+            assert page.bytes() == payload
+            met.add((page.compression, page.predictor, page.tiled))
+        assert met == {(c, p, t) for c in (tiff.NONE, tiff.PACKBITS, tiff.LZW, tiff.DEFLATE) for p in (1, 2) for t in (False, True) if p == 1 or c in (tiff.LZW, tiff.DEFLATE)}
+
+
+def test_short_strips_and_wild_claims_are_errors(spark):
+    page = np.arange(12, dtype=np.uint8).reshape(1, 12)
+    plain = tiff.write_tiff([page], tiff.NONE)
+    tag = lambda data, number: next(i for i in range(8, len(data) - 12) if data[i : i + 2] == number.to_bytes(2, "little") and data[i + 2] in (3, 4) and data[i + 3] == 0)
+
+    def changed(data, number, value=None, kind=None):
+        out, at = bytearray(data), tag(data, number)
+        if kind:
+            out[at + 2 : at + 4] = kind.to_bytes(2, "little")
+        if value is not None:
+            out[at + 8 : at + 12] = value.to_bytes(4, "little")
+        return bytes(out)
+
+    tiles = tiff.write_tiff([np.zeros((32, 32), np.uint8)], tiff.DEFLATE, tile=32)
+    bad = [changed(plain, 279, 5), changed(plain, 256, kind=11), changed(changed(tiles, 322, 1 << 25), 323, 1 << 25), changed(changed(tiles, 256, 1 << 15), 257, 1 << 15), changed(plain, 278, 0), changed(plain, 257, 0)]
+    bad += [tiff.write_tiff([np.zeros((99, 64), np.uint8)], c)[:-150] for c in (tiff.LZW, tiff.PACKBITS)]
+    df = spark.createDataFrame(list(enumerate([*bad, plain])), "id int, media binary")
+    got = {r["id"]: r for r in tiff.pages(df).collect()}
+    assert len(got) == len(bad) + 1 and bytes(got[len(bad)]["pixels"]) == page.tobytes()
+    assert all(got[i]["error"] and got[i]["pixels"] is None for i in range(len(bad)))
+    with pytest.raises(Exception, match="of 12 bytes"):
+        tiff.payload_digests(df.where("id = 0")).collect()
+
+
+def test_mutated_media_never_fail_the_reader():
+    rng = np.random.default_rng(13)
+    some = [tiff.write_tiff([rng.integers(0, 5, (40, 50), dtype=np.uint8)], c, p, t) for c in tiff.NAMES for p, t in ((1, 0), (2, 16))]
+    for _ in range(3000):
+        data = bytearray(some[int(rng.integers(len(some)))])
+        for _ in range(int(rng.integers(1, 5))):
+            data[int(rng.integers(4, len(data)) if rng.random() < 0.3 else rng.integers(max(4, len(data) - 220), len(data)))] = int(rng.integers(256))
+        for row in tiff._read_all(bytes(data)):
+            assert (row[-1] is None) == (row[7] is not None)
 
 
 def test_media_edges(spark):
@@ -290,8 +378,8 @@ def test_media_edges(spark):
         by.setdefault(r["id"], []).append(r)
     assert set(by) == {3, 4, 5, 6, 7} and len(by[4]) == 2 and all(bytes(r["pixels"]) == bytes(range(64)) for r in by[4])
     assert by[3][0]["error"] and by[5][0]["error"] and by[7][0]["error"] and [bool(r["error"]) for r in by[6]] == [False, True]
-    texts = spark.createDataFrame([(1, None), (2, ""), (3, "x" * 400_000), (3, "x" * 400_000)], "doc_id long, text string")
+    texts = spark.createDataFrame([(1, None, 1, 2), (2, "", 1, 2), (3, "x" * 400_000, 1, 2), (3, "x" * 400_000, 1, 2), (None, "yz" * 2_000_000, 1, 2)], "doc_id long, text string, whole int, page int")
     got = tiff.payload_digests(tiff.encode_texts(texts).drop("text")).collect()
-    assert {(r["n_bytes"], r["payload_bytes"]) for r in got} == {(0, 64), (400_000, 400_000)}
+    assert sorted((r["n_bytes"], r["payload_bytes"], r["whole"], r["page"]) for r in got) == [(0, 64, 1, 2)] * 2 + [(400_000, 400_000, 1, 2)] * 2 + [(4_000_000, 4_000_000, 1, 2)]
     assert len(list(tiff.read_pages(tiff.store(b"x" * 400_000)))) == 2
     assert tiff.pages(df.limit(0)).count() == 0

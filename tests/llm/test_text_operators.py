@@ -127,6 +127,72 @@ def test_language_edges(spark):
     assert langid.identify(df.limit(0), langid.fit(df, F.lit(True))).count() == 0
 
 
+def test_language_by_plain_naive_bayes(spark):
+    """Counts, bits, trust and decoding again, a document and a gram at a time."""
+    docs = [(r["doc_id"], r["text"], r["lang"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+
+    def grams(t):
+        low = bytes((b | 32) if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in t.encode())
+        low = bytearray(low)
+        for i in range(len(low) - 1):
+            if t.encode()[i] == 0xC3 and 0x80 <= t.encode()[i + 1] <= 0x9E and t.encode()[i + 1] != 0x97:
+                low[i + 1] += 32
+        return [((low[i] | low[i + 1] << 8 | low[i + 2] << 16) * 2654435761 % 2**32) >> 16 for i in range(len(low) - 2)]
+
+    learnt = {(lang, t) for i, t, lang in docs if zlib.crc32(str(i).encode()) % 4 != 2 and t is not None and lang is not None}
+    names = sorted({lang for lang, t in learnt if len(t.encode()) > 2})
+    assert all(sum(lang == n for lang, _ in learnt) <= langid.PER_LANGUAGE for n in names)
+    counts = {n: Counter(g for lang, t in learnt if lang == n for g in grams(t)) for n in names}
+    total = {n: sum(counts[n].values()) + 0.5 * 65536 for n in names}
+    splits = [[s >> k - 1 & 1 if k else 0 for k in range(len(names))] for s in range(1, 1 << (len(names) - 1))]
+
+    def weight(g, split):
+        share = lambda b: [(counts[n][g] + 0.5) / total[n] for n, x in zip(names, split) if x == b]
+        one, zero = share(1), share(0)
+        return math.log(sum(one) / len(one)) - math.log(sum(zero) / len(zero))
+
+    memo = {}
+
+    def margins(t):
+        found = grams(t)
+        out = []
+        for k, split in enumerate(splits):
+            for g in set(found):
+                if (g, k) not in memo:
+                    memo[g, k] = weight(g, split)
+            out.append(sum(memo[g, k] for g in found) / math.sqrt(len(found)) if found else 0.0)
+        return out
+
+    taught = [(margins(t), names.index(lang)) for lang, t in learnt if lang in names]
+    rate = [(sum((m[k] > 0) == (s[at] == 1) for m, at in taught) + 1) / (len(taught) + 2) for k, s in enumerate(splits)]
+    trust = [max(math.log(r / (1 - r)), 0.01) for r in rate]
+    got = {r["doc_id"]: r for r in queries.op10_langid(spark, SF).collect()}
+    assert len(got) == len(docs)
+    for i, t, _ in docs:
+        r = got[i]
+        assert r["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2)
+        if not any(c.isalpha() for c in t or ""):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        m = margins(t)
+        loss = [sum(w * len(trust) / sum(trust) * math.log1p(math.exp(-x * (2 * s[k] - 1))) for x, w, s in zip(m, trust, splits)) for k in range(len(names))]
+        assert r["lang_pred"] == names[loss.index(min(loss))]
+        assert r["score"] == pytest.approx(1 / sum(math.exp(min(loss) - x) for x in loss), abs=1e-4)
+
+
+def test_language_of_clashing_names_repeats_and_long_texts(spark):
+    rows = [(i, "the cat and the dog went home", "en") for i in range(300)] + [(1, "der hund und die katze gehen", "de"), (2, "und " * 300_000, "de"), (3, "ab", "fr"), (None, "the " * 300_000, None)]
+    df = spark.createDataFrame([(*r, "own", 1.5) for r in rows], "doc_id long, text string, lang string, _letter string, _Letter_ double").repartition(3)
+    drawn = langid.sample(df, "text", "lang", F.lit(True), 1000).collect()
+    assert sorted(r["label"] for r in drawn) == ["de", "de", "en", "fr"]
+    model = langid.fit(df, F.lit(True))
+    assert model.languages == ["de", "en"]
+    got = langid.identify(df, model)
+    assert got.columns == ["doc_id", "text", "lang", "_letter", "_Letter_", "lang_pred", "score", "lead", "ambiguous"]
+    by = {r["text"]: r for r in got.collect()}
+    assert by["und " * 300_000]["lang_pred"] == "de" and by["the " * 300_000]["lang_pred"] == "en" and {r["_letter"] for r in by.values()} == {"own"}
+
+
 def test_quality_accuracy_on_held_out_texts(spark):
     sf = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
@@ -153,6 +219,79 @@ def test_descent_solves_a_small_problem():
     assert [model.margin(r) > 0 for r in rows] == [True, True, False, False]
 
 
+def test_quality_by_dense_descent(spark):
+    """Features from plain Python, the fit on dense rows, every score again."""
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if r["quality"] in (0, 1)}
+    teach = sorted(i for i in docs if i in labels and zlib.crc32(str(i).encode()) % 3 != 1)
+    assert all(sum(labels[i] == q for i in teach) <= quality.PER_CLASS for q in (0, 1))
+    names = {}
+
+    def grams(t):
+        raw = t.encode()
+        words = [w for w in __import__("re").findall(rb"[^ \t-\r]+", raw)]
+        found = {("w", w) for w in words} | {("p", a, b) for a, b in zip(words, words[1:])} | {("b", raw[i : i + 3]) for i in range(len(raw) - 2)}
+        if len(words) > 1:
+            same = sum(a == b for a, b in zip(words, words[1:])) / (len(words) - 1)
+            found.add(("r", 0 if not same else 1 + min(7, int(-math.log2(same)))))
+        return found
+
+    import pyarrow as pa
+
+    # hashing may join n-grams: take the module's places for them, having checked that there are no more places than n-grams
+    def placed(t):
+        (own,) = quality.features(*text.buffers(pa.array([t])))
+        return own
+
+    rows = {}
+    for i, t in docs.items():
+        own, plain = placed(t), grams(t)
+        names.update((x, None) for x in plain)
+        assert len(set(own.tolist())) == len(own) <= len(plain) and len(own) > 0.97 * len(plain) - 1
+        rows[i] = own
+    x = np.zeros((len(teach), quality.SIZE), bool)
+    for k, i in enumerate(teach):
+        x[k, rows[i]] = True
+    y = np.array([labels[i] for i in teach])
+    p, q = 1 + x[y == 1].sum(axis=0), 1 + x[y == 0].sum(axis=0)
+    ratio = np.log(p / p.sum()) - np.log(q / q.sum())
+    dense = x * ratio / np.sqrt(np.maximum(x.sum(axis=1), 1))[:, None]
+    s = np.where(y == 1, 1.0, -1.0)
+    cost = np.where(y == 1, len(y) / (2 * (y == 1).sum()), len(y) / (2 * (y == 0).sum())) * quality.C
+    w, bias, alpha, rng = np.zeros(quality.SIZE), 0.0, np.zeros(len(y)), np.random.default_rng(5)
+    for _ in range(quality.ROUNDS):
+        before = alpha.copy()
+        for k in rng.permutation(len(y)):
+            new = min(max(alpha[k] - (s[k] * (dense[k] @ w + bias) - 1) / (dense[k] @ dense[k] + 1), 0.0), cost[k])
+            w, bias, alpha[k] = w + (new - alpha[k]) * s[k] * dense[k], bias + (new - alpha[k]) * s[k], new
+        if np.abs(alpha - before).max() < 1e-3:
+            break
+    used = np.abs(w) > 1e-9
+    mean = np.abs(w[used]).mean()
+    w = np.where(used, quality.BETA * w + (1 - quality.BETA) * mean, 0.0)
+    got = {r["doc_id"]: r for r in queries.op3_quality(spark, SF).collect()}
+    assert len(got) == len(docs)
+    for i, own in rows.items():
+        margin = (w * ratio)[own].sum() / max(1.0, math.sqrt(len(own))) + bias
+        assert got[i]["score"] == pytest.approx(1 / (1 + math.exp(-quality.SLOPE * margin)), abs=1e-6)
+        assert got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1) and got[i]["predicted"] == (got[i]["score"] >= 0.5)
+
+
+def test_quality_of_clashing_names_repeats_and_long_texts(spark):
+    good, bad = "some plain words that make a sentence", "!!! ### !!! ###"
+    rows = [(1, good)] * 50 + [(1, "zz" + good), (2, bad), (3, " ".join(f"w{i}" for i in range(400_000))), (4, bad * 200_000), (5, None)]
+    df = spark.createDataFrame([(*r, "own", 1) for r in rows], "doc_id long, text string, _key string, label int")
+    labels = spark.createDataFrame([(1, 1, "x"), (2, 0, "x"), (3, 1, "x"), (4, 0, "x")], "doc_id long, quality int, text string")
+    model = quality.fit(df, labels, F.col("label") == 1)
+    got = quality.score(df, model)
+    assert got.columns == ["doc_id", "text", "_key", "label", "score", "predicted"] and got.count() == len(rows)
+    assert {(r["doc_id"], r["predicted"]) for r in got.where("doc_id < 5").collect()} == {(1, 1), (2, 0), (3, 1), (4, 0)}
+    many = np.flatnonzero(np.random.default_rng(3).random(quality.SIZE) < 0.3)
+    for found in (many, many[:100], many[:0]):
+        packed = quality._kept(found)
+        assert len(packed) <= 1 + -(-quality.SIZE // 8) and quality.Kept([packed])[0].tolist() == found.tolist()
+
+
 def test_lm_scores_by_brute_force(spark):
     sf = SF
     docs = [(r["doc_id"], (r["text"] or "").encode().lower().split()) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
