@@ -3,8 +3,8 @@
 Archives hold one gzip member for each record, so that a record can be read by its byte range. The
 capture index has two levels: captures sorted by reversed-host URL key are cut into compressed
 blocks, and a sparse directory keeps the first and last key of each block. A lookup binary-searches the
-directory, then the block, and reads only the ranges found. The directory has at most MAX_BLOCKS
-entries, as blocks grow with the number of captures; that is what is broadcast.
+directory, then the block, and reads only the ranges found. The directory, which is broadcast, has at most MAX_BLOCKS
+entries and DIRECTORY_BYTES of keys: blocks grow with the number of captures and, if need be, the length of keys.
 
 Payloads that are equal and have at least ``min_bytes`` are stored once: the record with the
 largest key is a response, the others are revisits that refer to it.
@@ -16,7 +16,8 @@ pyarrow.fs, so the shared folder can be any store that it knows.
 Defined results: a null payload counts as empty; a null URL is archived as ``urn:page:`` and the key;
 a null key takes part, but never is the response that others refer to, unless all equal payloads have null
 keys: then all are responses; rows that repeat the key of a response with its payload are responses, too;
-an empty table makes no archives and an empty index; a column named like a result is replaced.
+an empty table makes no archives and an empty index; a very long payload is one record in an archive of its own size; only the named
+columns of the input are used, so others may have any names.
 """
 
 from __future__ import annotations
@@ -39,9 +40,13 @@ from raywalk.llm import shared
 from raywalk.llm.urls import host_of
 
 BLOCK_LINES = 512
-MAX_BLOCKS = 1_000_000
+MAX_BLOCKS, DIRECTORY_BYTES = 200_000, 64 << 20
+#: Neighbouring bytes of an archive that one task reads.
+STRETCH_BYTES = 16 << 20
 #: Bytes after which a task begins another archive.
 ARCHIVE_BYTES = 64 << 20
+#: Rows from which on a digest counts as hot: each comes with its payload.
+HOT_PAGES = 2000
 DATE = "2024-01-01T00:00:00Z"
 END = b"\r\n\r\n"
 
@@ -89,20 +94,23 @@ def _store(path: str) -> tuple[fs.FileSystem, str]:
 
 
 def _roles(df: DataFrame, payload: str, key: str, min_bytes: int) -> DataFrame:
-    """Rows with ``_sha`` and ``_first``, the key of the response with the same payload; only payload-bearing rows are shuffled, once."""
+    """Rows with ``_sha`` and ``_first``, the key of the response with the same payload if there are several. Digests are counted without payloads;
+    payload-bearing rows are shuffled once, and those of a hot digest are spread over all tasks."""
     rows = df.withColumn("_payload", F.coalesce(F.col(payload).cast("binary"), F.lit("").cast("binary")))
     rows = rows.withColumn("_sha", F.sha1("_payload"))
-    firsts = rows.where(F.length("_payload") >= min_bytes).groupBy("_sha").agg(F.max(key).alias("_first"))
-    return rows.join(firsts.hint("shuffle_hash"), "_sha", "left")
+    often = rows.where(F.length("_payload") >= min_bytes).groupBy("_sha").agg(F.max(key).alias("_first"), F.count("*").alias("rows"))
+    often = shared.write_table(often.where("rows > 1 AND _first IS NOT NULL"), "digests")
+    total = often.agg(F.sum("rows")).first()[0] or 0
+    return shared.with_value(rows, often, "_sha", "_first", total, HOT_PAGES)
 
 
 def write_archives(df: DataFrame, path: str, url: str = "url", payload: str = "html", key: str = "page_id", min_bytes: int = 0) -> DataFrame:
     """Write the archives below ``path``; return their captures: ``surt``, ``uri``, ``record_type``, ``digest``, ``file``, ``offset``, ``length``."""
     spark = df.sparkSession
     shared.bounded_batches(spark)
-    rows = _roles(df.select(url, payload, key), payload, key, min_bytes)
-    uri = F.coalesce(F.col(url), F.concat(F.lit("urn:page:"), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
-    rows = rows.select(uri.alias("uri"), url_key(uri).alias("surt"), F.col(key).cast("string").alias("key"), F.col("_first").cast("string").alias("first"), "_sha", "_payload")
+    rows = _roles(df.select(F.col(url).alias("_url"), F.col(payload).alias("_html"), F.col(key).alias("_key")), "_html", "_key", min_bytes)
+    uri = F.coalesce(F.col("_url"), F.concat(F.lit("urn:page:"), F.coalesce(F.col("_key").cast("string"), F.lit("null"))))
+    rows = rows.select(uri.alias("uri"), url_key(uri).alias("surt"), F.col("_key").cast("string").alias("key"), F.col("_first").cast("string").alias("first"), "_sha", "_payload")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = _store(path)
@@ -169,9 +177,15 @@ def build_index(captures: DataFrame, archives: str, block_lines: int = BLOCK_LIN
         if held:
             yield block(held)
 
-    packed = captures.select(*columns).orderBy("surt", "file", "offset").mapInArrow(pack, "first string, last string, n int, packed binary")
-    blocks = shared.write_table(packed.withColumn("block", F.monotonically_increasing_id()), "index")
-    # at most MAX_BLOCKS rows
+    while True:
+        packed = captures.select(*columns).orderBy("surt", "file", "offset").mapInArrow(pack, "first string, last string, n int, packed binary")
+        blocks = shared.write_table(packed.withColumn("block", F.monotonically_increasing_id()), "index")
+        size, most = blocks.agg(F.sum(F.octet_length("first") + F.octet_length("last")), F.count("*")).first()
+        if not most or size <= DIRECTORY_BYTES or lines >= n:
+            break
+        shared.drop_table(blocks)
+        lines *= -(-2 * size // DIRECTORY_BYTES)
+    # at most MAX_BLOCKS rows and DIRECTORY_BYTES
     directory = sorted((r["first"], r["last"], r["block"]) for r in blocks.select("first", "last", "block").collect())
     return Index(archives, blocks.select("block", "packed"), directory, n)
 
@@ -232,5 +246,7 @@ def read_records(captures: DataFrame, archives: str) -> DataFrame:
         if opened is not None:
             opened.close()
 
-    ranges = captures.select("file", "offset", "length").sortWithinPartitions("file", "offset")
+    # neighbours are read by one task, as many tasks as the session shuffles to, whatever the size of the index
+    tasks = int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = captures.select("file", "offset", "length").repartition(tasks, F.col("file"), F.floor(F.col("offset") / STRETCH_BYTES)).sortWithinPartitions("file", "offset")
     return ranges.mapInArrow(run, "record_id string, uri string, record_type string, refers_to string, payload_bytes long, payload_digest string, payload binary")
