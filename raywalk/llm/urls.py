@@ -3,11 +3,12 @@
 Rules are a host suffix and a path prefix. They sit in a trie over reversed host labels,
 each node of which holds a trie over path segments; the trie is broadcast, and each URL walks it once.
 A rule fits its host and all subdomains if the path starts with the rule's path. The longest
-rule (host, then path) wins; of two equal rules the blocking one does.
+rule (host, then path) wins; of two equal rules the blocking one does. A list of more than MAX_RULES is cut into parts, each of which is
+a trie and a pass of its own; the longest rule of all passes wins, so their number changes nothing.
 
 Defined results: a null URL, or one without ``://``, has empty host and path and fits no rule
 but one of empty host; a URL that fits no rule gets the default verdict; repeated rows are judged
-each for itself; other columns pass through, and those named like a result are replaced.
+each for itself; an empty table gives no rows; very long URLs are walked whole; other columns pass through, and those named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -20,8 +21,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rules that a broadcast trie may hold; at about 200 bytes a rule it stays under 200 MB.
-MAX_RULES = 1_000_000
+from raywalk.llm import shared
+
+#: Rules of one broadcast trie, whose nodes take about 1 KB a rule: 200 MB. More rules are matched in several passes.
+MAX_RULES = 200_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -108,24 +111,35 @@ def path_of(url):
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def judge(df: DataFrame, rules: list[Rule], url: str = "url", default: str = "allow") -> DataFrame:
-    """Add ``host``, ``path``, ``rule`` (null if none fits) and ``verdict``."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules: split the list by top-level label")
+def _passed(df: DataFrame, rules: list[Rule], best: str) -> DataFrame:
+    """Keep in ``best`` (weight, rule, verdict) the longest rule so far."""
     trie = df.sparkSession.sparkContext.broadcast(HostTrie.of(rules))
 
-    @F.pandas_udf("rule string, verdict string")
+    @F.pandas_udf("host int, path int, blocks int, rule string, verdict string")
     def walk(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         top = trie.value
         for hosts, paths in pairs:
             found = [top.longest(h, p) for h, p in zip(hosts, paths)]
             yield pd.DataFrame({
+                "host": np.array([len(r.host) if r else -1 for r in found], np.int32),
+                "path": np.array([len(r.path) if r else -1 for r in found], np.int32),
+                "blocks": np.array([int(r.verdict == "block") if r else 0 for r in found], np.int32),
                 "rule": np.array([r.text if r else None for r in found], object),
-                "verdict": np.array([r.verdict if r else default for r in found], object),
+                "verdict": np.array([r.verdict if r else None for r in found], object),
             })
 
+    found = walk("host", "path")
+    return df.withColumn(best, F.greatest(best, found) if best in df.columns else found)
+
+
+def judge(df: DataFrame, rules: list[Rule], url: str = "url", default: str = "allow", most: int = MAX_RULES) -> DataFrame:
+    """Add ``host``, ``path``, ``rule`` (null if none fits) and ``verdict``. ``most``: rules of a pass."""
     rest = [F.col(f"`{c}`") for c in df.columns if c not in ("host", "path", "rule", "verdict")]
+    best = shared.free_name(df, "_best")
     parted = df.select(*rest, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    return parted.withColumn("_found", walk("host", "path")).select(
-        *rest, "host", "path", F.col("_found.rule").alias("rule"), F.col("_found.verdict").alias("verdict")
-    )
+    for i in range(0, max(len(rules), 1), most):
+        if i:
+            parted = shared.write_table(parted, "judged")  # a worker holds one trie at a time
+        parted = _passed(parted, rules[i : i + most], best)
+    found = lambda c: F.col(best).getField(c)
+    return parted.select(*rest, "host", "path", found("rule").alias("rule"), F.coalesce(found("verdict"), F.lit(default)).alias("verdict"))
