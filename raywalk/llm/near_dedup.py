@@ -12,7 +12,8 @@ alternating large-star and small-star. In detail:
 3. What a bucket still leaves open is checked in blocks: classes that were neither confirmed with
    the pivot nor are already of its component, against each other and, where the triangle inequality
    of the Jaccard distance allows a link, against the confirmed ones. No bucket is collected in one task:
-   buckets of over ``block`` open classes are dealt to pairs of blocks.
+   buckets of over ``block`` open classes, or ``block_bytes`` of shingles, are dealt to pairs of blocks. Signatures go first; whole
+   sets follow only of classes that they leave a possible partner in the same pair of blocks.
 
 A pair of exactly the threshold shares no band with probability (1 - t**rows)**bands, under 1e-5 for
 the defaults at 0.8.
@@ -20,7 +21,8 @@ the defaults at 0.8.
 Defined results: null, empty or blank text has no set, is linked with nothing and, if its key has no other text, is its own component; a text
 of fewer words than a shingle is one shingle as a whole; a null key is linked with nothing, has a
 null component and is kept; rows that repeat a key each get a row, and a key with several texts is one document that
-has the links of all of them; an empty table gives no rows; only the key of the input is returned.
+has the links of all of them; very long texts are hashed whole; an empty table gives no rows; only the key of the input is returned, so
+other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -44,13 +46,14 @@ BROADCAST_IDS = 1_000_000
 
 @dataclass(frozen=True)
 class Params:
-    """Shingle size, threshold in percent, bands and rows (their product is the number of minima), block size."""
+    """Shingle size, threshold in percent, bands and rows (their product is the number of minima), classes and bytes of sets of a block."""
 
     words: int = 5
     percent: int = 80
     bands: int = 40
     rows: int = 6
-    block: int = 256
+    block: int = 2048
+    block_bytes: int = 16 << 20
 
     @property
     def hashes(self) -> int:
@@ -190,34 +193,58 @@ def _in_blocks(df: DataFrame, members: DataFrame, tested: DataFrame, comps: Data
     found = tested.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "est", "linked").join(own, "id", "left")
     # 0: confirmed with the pivot, 1: near enough to have a link to such a one, 2: far
     found = found.select("pivot", "id", F.coalesce("comp", "id").alias("comp"), F.when(F.col("linked"), 0).when(F.col("est") >= near, 1).otherwise(2).alias("kind"))
-    rows = members.join(found, ["pivot", "id"])
+    rows = members.join(found.join(reps.select("id", "n"), "id"), ["pivot", "id"])
     opened, middle = F.when(F.col("kind") > 0, F.col("comp")), F.when(F.col("kind") == 1, F.col("comp"))
     buckets = rows.groupBy("key").agg(
         F.count(opened).alias("n_open"), F.count("*").alias("n_all"), F.min(opened).alias("open_a"), F.max(opened).alias("open_b"),
         F.min(middle).alias("near_a"), F.max(middle).alias("near_b"), F.min(F.when(F.col("kind") == 0, F.col("comp"))).alias("pivot_comp"),
+        F.sum(F.when(F.col("kind") > 0, F.col("n"))).alias("size_open"), F.sum("n").alias("size_all"),
     )
     # confirmed classes matter where one that is near isn't of their component, which is the pivot's
     core = F.coalesce((F.col("near_a") != F.col("pivot_comp")) | (F.col("near_b") != F.col("pivot_comp")), F.lit(False))
     buckets = buckets.withColumn("core", core).where("core OR open_a != open_b")
-    buckets = buckets.select("key", "core", F.ceil(F.when(F.col("core"), F.col("n_all")).otherwise(F.col("n_open")) / p.block).cast("long").alias("m"))
-    rows = shared.write_table(rows.join(buckets, "key").where("core OR kind > 0").select("key", "band", "id", "comp", "kind", "m"), "open")
-    # each open class once, with all that a test needs
-    ids = shared.write_table(rows.select("id").distinct(), "ids")
-    full = reps.select("id", "sig", "bands").join(_sets(df, ids, text, key, p), "id")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("m"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
-    rows = rows.select("key", "band", "id", "comp", "kind", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).join(full, "id")
-    groups = rows.groupBy("key", "band", "i", "j").agg(F.collect_list(F.struct("id", "comp", "kind", "block", "sig", "bands", "shingles")).alias("g")).where(F.size("g") > 1).select("band", "i", "j", "g")
-    kind = reps.schema["id"].dataType
+    parts = lambda n, size: F.greatest(F.ceil(F.col(n) / p.block), F.ceil(F.col(size) * 8 / p.block_bytes)).cast("long")
+    made = F.struct("core", F.when(F.col("core"), parts("n_all", "size_all")).otherwise(parts("n_open", "size_open")).alias("m"))
+    buckets = buckets.select("key", made.alias("made"), F.col("n_all").alias("rows"))
+    rows = shared.with_value(rows, buckets, "key", "made", members.count()).where("made IS NOT NULL").select("*", "made.core", "made.m")
+    rows = shared.write_table(rows.where("core OR kind > 0").select("key", "band", "id", "comp", "kind", "m", "n"), "open")
+    # each row once for every pair of blocks that its own is in
+    marks = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("m"))).join(reps.select("id", "sig", "bands"), "id")
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("other")
+    met = marks.select("*", other).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    member = F.struct("id", "comp", "kind", "block", "n", "sig", "bands")
+    groups = met.groupBy("key", "band", "i", "j").agg(F.collect_list(member).alias("g")).where(F.size("g") > 1)
+    kind, of = reps.schema["id"].dataType, T.StructType([T.StructField(c, T.LongType()) for c in ("key", "i", "j")] + [T.StructField("band", T.IntegerType())])
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.schema.field("g").type.value_type.field("id").type
+            for k in range(batch.num_rows):
+                at = {c: batch.column(c)[k].as_py() for c in ("key", "i", "j", "band")}
+                g = sorted(batch.column("g")[k].as_py(), key=lambda r: r["id"])
+                keep = _possible(g, at["band"], at["i"] == at["j"], p)
+                left = [r for r, x in zip(g, keep.tolist()) if x]
+                if left:
+                    same = lambda v, t: pa.array([v] * len(left), t)
+                    yield pa.RecordBatch.from_arrays([same(at["key"], pa.int64()), same(at["i"], pa.int64()), same(at["j"], pa.int64()), same(at["band"], pa.int32()), pa.array([r["id"] for r in left], ids)], ["key", "i", "j", "band", "id"])
+
+    left = shared.write_table(groups.select("key", "i", "j", "band", "g").mapInArrow(likely, T.StructType([*of.fields, T.StructField("id", kind)])), "left")
+    ids = shared.write_table(left.select("id").distinct(), "ids")
+    whole = left.join(marks, ["key", "band", "id"]).join(_sets(df, ids, text, key, p), "id")
+    groups = whole.groupBy("key", "band", "i", "j").agg(F.collect_list(F.struct("id", "comp", "kind", "block", "n", "sig", "bands", "shingles")).alias("g")).select("band", "i", "j", "g")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            of = batch.schema.field("g").type.value_type.field("id").type
+            ids = batch.schema.field("g").type.value_type.field("id").type
             for k in range(batch.num_rows):
-                g = batch.column("g")[k].as_py()
+                g = sorted(batch.column("g")[k].as_py(), key=lambda r: r["id"])
                 links = _block_links(g, batch.column("band")[k].as_py(), batch.column("i")[k].as_py() == batch.column("j")[k].as_py(), p)
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], of), pa.array([y for _, y in links], of)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], ids), pa.array([y for _, y in links], ids)], ["a", "b"])
 
-    return groups.mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+    found = shared.write_table(groups.mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)])), "rest")
+    for used in (rows, left, ids):
+        shared.drop_table(used)
+    return found
 
 
 def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -228,16 +255,11 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(x) + len(y) - common)
 
 
-def _block_links(g: list[dict], band: int, alone: bool, p: Params) -> list[tuple]:
-    """A spanning forest of the links between components in a block, or between two blocks. A pair is tested in
-    the first band that it shares, and only while its two sides aren't known to be connected."""
-    g.sort(key=lambda r: r["id"])
+def _pairs(g: list[dict], band: int, alone: bool, p: Params, comp: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each class of a block, or of two, those after it that it may have a link to, by falling agreement: pairs of different components, that
+    share this band as their first, of fitting sizes and signatures. ``comp`` may change meanwhile."""
     sig = np.frombuffer(b"".join(r["sig"] for r in g), np.uint8).reshape(len(g), -1)
-    bands, kinds, block = np.array([r["bands"] for r in g]), np.array([r["kind"] for r in g]), np.array([r["block"] for r in g])
-    comp = np.unique([r["comp"] for r in g], return_inverse=True)[1]
-    size = np.array([len(r["shingles"]) for r in g])
-    sets: dict[int, np.ndarray] = {}
-    out = []
+    bands, kinds, block, size = (np.array([r[c] for r in g]) for c in ("bands", "kind", "block", "n"))
     for x in range(len(g) - 1):
         rest = np.arange(x + 1, len(g))
         both = kinds[rest] + kinds[x]  # 0: both confirmed with the pivot, 2 of 0 and 2: too far apart
@@ -247,11 +269,30 @@ def _block_links(g: list[dict], band: int, alone: bool, p: Params) -> list[tuple
             fit &= block[rest] != block[x]
         rest = rest[fit]
         rest = rest[(bands[rest] == bands[x]).argmax(axis=1) == band]
-        if not len(rest):
-            continue
-        est = ((sig[rest] == sig[x]).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
-        order = np.argsort(-est, kind="stable")
-        for y in rest[order][: int((est >= p.least_estimate).sum())].tolist():
+        if len(rest):
+            est = ((sig[rest] == sig[x]).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
+            order = np.argsort(-est, kind="stable")
+            yield x, rest[order][: int((est >= p.least_estimate).sum())]
+
+
+def _possible(g: list[dict], band: int, alone: bool, p: Params) -> np.ndarray:
+    """Classes with a possible partner."""
+    comp = np.unique([r["comp"] for r in g], return_inverse=True)[1]
+    keep = np.zeros(len(g), bool)
+    for x, rest in _pairs(g, band, alone, p, comp):
+        keep[rest] = True
+        keep[x] |= len(rest) > 0
+    return keep
+
+
+def _block_links(g: list[dict], band: int, alone: bool, p: Params) -> list[tuple]:
+    """A spanning forest of the links between components in a block, or between two blocks: a pair is tested only while
+    its two sides aren't known to be connected."""
+    comp = np.unique([r["comp"] for r in g], return_inverse=True)[1]
+    sets: dict[int, np.ndarray] = {}
+    out = []
+    for x, rest in _pairs(g, band, alone, p, comp):
+        for y in rest.tolist():
             if comp[y] == comp[x]:
                 continue
             for k in (x, y):
@@ -271,8 +312,8 @@ def link(df: DataFrame, text: str = "text", key: str = "doc_id", params: Params
     classes = prints.where("n > 0 AND id IS NOT NULL").groupBy("f1", "f2").agg(F.min(F.struct("id", "n", "sig", "bands")).alias("r"))
     reps = shared.write_table(classes.select("f1", "f2", "r.*"), "classes")
     bands = reps.select("id", F.posexplode("bands").alias("band", "key"))
-    buckets = bands.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot != last").drop("last")
-    members = shared.write_table(bands.join(buckets, "key").where("id != pivot"), "members")
+    buckets = bands.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last"), F.count("*").alias("rows")).where("pivot != last").drop("last")
+    members = shared.write_table(shared.with_value(bands, buckets, "key", "pivot", reps.count() * p.bands).where("id != pivot"), "members")
     star = members.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     estimated = shared.write_table(_estimated(star, reps, p), "estimated")
     likely = estimated.where(F.col("est") >= p.least_estimate).select("a", "b")
@@ -282,7 +323,7 @@ def link(df: DataFrame, text: str = "text", key: str = "doc_id", params: Params
     shared.drop_table(sets)
     comps = components(links)
     tested = estimated.join(links, ["a", "b"], "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
-    rest = shared.write_table(_in_blocks(df, members, tested, comps, reps, text, key, p), "rest")
+    rest = _in_blocks(df, members, tested, comps, reps, text, key, p)
     prints_of = prints.where("id IS NOT NULL").groupBy("id").agg(F.min(F.struct("f1", "f2")).alias("least"), F.max(F.struct("f1", "f2")).alias("most"))
     several = shared.write_table(prints_of.where("least != most").select("id"), "several")
     repeated = not several.isEmpty()
