@@ -327,6 +327,81 @@ def test_lm_probabilities_add_up(spark):
     assert np.allclose(inside[inside > 0], model.mass[inside > 0])
 
 
+def test_lm_score_by_brute_force(spark):
+    """Counts by word and class again, a vector of every word that fits them, probabilities that add up to 1, and scores token by token."""
+    rng = np.random.default_rng(15)
+    names = [f"w{'x' * int(rng.integers(0, 5))}{i}" for i in range(400)]
+    share = 1 / np.arange(1, 401) ** 0.7
+    share /= share.sum()
+    texts = []
+    for _ in range(500):
+        words, at = [], int(rng.integers(400))
+        for _ in range(int(rng.integers(0, 40))):
+            at = (at * 7 + 3) % 400 if rng.random() < 0.5 else int(rng.choice(400, p=share))
+            words.append(names[at])
+        texts.append(words)
+    rows = [(i, " ".join(w), i % 5 == 0) for i, w in enumerate([*texts, ["unseen", "w", "new"]])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean").repartition(3)
+    old = lm.HEAD
+    try:
+        lm.HEAD = 250  # the driver's: the other words have their counts and vectors by the join
+        model = lm.fit(df, ~F.col("held_out"))
+        got = {r["doc_id"]: r["score"] for r in lm.score(df, model).collect()}
+    finally:
+        lm.HEAD = old
+    taught = [t.split() for _, t, held in rows if not held]
+    counts = Counter(w for t in taught for w in t)
+    hashed = lambda w: text.span_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w)]))[0]
+    every = [*counts, "unseen", "w", "new"]
+    classes = {w: int(model.head.classify(np.array([hashed(w)]), np.array([len(w)]))[1][0]) for w in every}
+    assert len(model.head.counts) == 250 and sum(c > lm.OWN for c in classes.values()) > 200
+
+    def walk(words):
+        two, one = lm.END, lm.END
+        for w in [*words, None]:
+            c = lm.END if w is None else classes[w]
+            yield w, c, two, one
+            two, one = one, c
+
+    seen, before = {w: np.zeros(lm.CLASSES) for w in every}, np.zeros((lm.CLASSES, lm.CLASSES))
+    for t in taught:
+        for w, c, _, one in walk(t):
+            before[c, one] += 1
+            if w is not None:
+                seen[w][one] += 1
+    added = {}
+    for w in every:
+        c = classes[w]
+        t = np.zeros(lm.DIMENSIONS)
+        if c > lm.OWN and counts[w] >= lm.MIN_COUNT:
+            noise = lm.noise_counts(np.array([hashed(w)]).view(np.int64), (lm.NOISE * (counts[w] + 1) / model.mass[c] * before[c])[None])[0]
+            assert np.all(np.abs(noise - lm.NOISE * (counts[w] + 1) / model.mass[c] * before[c]) < 1)
+            t = lm.target_vectors(seen[w][None], noise[None], model.after)[0]
+            odds = 1 / (1 + np.exp(np.log(lm.NOISE) - model.after @ t))
+            assert np.abs((seen[w] * (1 - odds) - noise * odds) @ model.after - lm.RIDGE * t).max() < 1e-3
+            place = int(model.head.words.find(np.array([hashed(w)]))[0])
+            if place >= 0:
+                assert np.allclose(model.targets[place], t, atol=1e-4)
+        added[w] = model.after @ t
+    assert max(np.abs(x).max() for x in added.values()) > 0.1
+
+    def probability(w, c, two, one):
+        inside = sum((counts[v] + 1) * math.exp(added[v][one]) for v in counts if classes[v] == c) + (c > lm.OWN + lm.BY_RANK)
+        part = 1.0 if c <= lm.OWN else (counts[w] + 1) * math.exp(added[w][one]) / inside
+        return 10 ** float(model.table[two * lm.CLASSES + one, c]) * part
+
+    for two, one in ((0, 0), (1, 5), (classes[names[7]], classes[names[300]])):
+        total = sum(probability(w, classes[w], two, one) for w in counts) + probability(None, lm.END, two, one)
+        for c in set(range(lm.CLASSES)) - {classes[w] for w in counts} - {lm.END}:
+            total += 10 ** float(model.table[two * lm.CLASSES + one, c])  # classes of unseen words
+        for c in {classes[w] for w in counts if classes[w] > lm.OWN + lm.BY_RANK}:
+            inside = sum((counts[v] + 1) * math.exp(added[v][one]) for v in counts if classes[v] == c) + 1
+            total += 10 ** float(model.table[two * lm.CLASSES + one, c]) / inside
+        assert total == pytest.approx(1, abs=1e-4)
+    for i, t, _ in rows[:60] + rows[-1:]:
+        assert got[i] == pytest.approx(sum(math.log10(probability(w, c, two, one)) for w, c, two, one in walk(t.split())), rel=1e-4, abs=1e-4)
+
+
 def test_lm_edges(spark, monkeypatch):
     monkeypatch.setattr(lm, "HEAD", 2)
     rows = [(1, "a a a b b c", False), (2, None, False), (2, "", False), (None, "zz zz c " * 50, True), (3, "A  a\tB\nc", True)]
