@@ -1,10 +1,19 @@
 """Corpus pipeline: language, quality, near duplicates, mix, tokens.
 
-Each stage works on all documents that its predecessor kept, as written to Parquet.
+Each stage works on all documents that its predecessor kept, as written to Parquet; a stage's table is deleted when the next one is written.
+
+Defined results, by stage: a null or empty text, or one without a letter, has no language and goes in the first stage, so later stages see
+none in a run; alone, the quality classifier scores such a text by its bias, near-duplicate detection keeps it, the mix gives it no tokens, and its
+ids are empty. A document without language or source counts as of language or source ''. Very long texts are worked on whole. Ties: equal
+losses go to the language that sorts first, a score of 0.5 stays, and of near copies the least key stays. Equal rows are judged
+alike, until of a key that is repeated one row stays, that of the least text, in near-duplicate detection; rows without key all stay. An
+empty table gives empty tables. Other columns, and the input's own columns of any name, go through unchanged up to the last stage.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,28 +25,40 @@ from raywalk.llm.queries import AXES, TARGETS, VOCABULARY
 PART = 0.7
 
 
+def _with_own_columns(docs: DataFrame, stage: Callable[[DataFrame], DataFrame], *made: str) -> DataFrame:
+    """A stage's rows with the columns of ``docs`` as they were, also those that are named like what the stage makes."""
+    own = {c: shared.free_name(docs, f"_own_{c}") for c in docs.columns if c.lower() in made}
+    return stage(docs.withColumnsRenamed(own)).select(*(F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told go on; those with no letter, or ambiguous, go."""
-    found = langid.identify(docs, langid.fit(docs, F.lit(True)))
-    return found.where((F.col("lang_pred") != langid.UND) & ~F.col("ambiguous")).select(*docs.columns)
+    model = langid.fit(docs, F.lit(True))
+    told = (F.col("lang_pred") != langid.UND) & ~F.col("ambiguous")
+    return _with_own_columns(docs, lambda df: langid.identify(df, model).where(told), "lang_pred", "score", "lead", "ambiguous")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are predicted to be of quality 1 go on."""
     model = quality.fit(docs, shared.read(spark, sf_dir, "labels"), F.lit(True))
-    return quality.score(docs, model).where("predicted = 1").select(*docs.columns)
+    return _with_own_columns(docs, lambda df: quality.score(df, model).where("predicted = 1"), "score", "predicted")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each component goes on."""
+    """The document of least id of each component goes on, in one row."""
     kept = near_dedup.link(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    found = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    if docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return found
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    one = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("text", *others)).alias("least"))
+    return one.select(*("doc_id" if c == "doc_id" else F.col("least").getField(c).alias(c) for c in docs.columns)).union(found.where("doc_id IS NULL"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn by their calibrated probabilities go on."""
-    mixed = mixing.mix(docs, {f"mix_{n}": f(n) for n, f in AXES.items()}, {f"mix_{n}": t for n, t in TARGETS.items()}, PART)
-    return mixed.where("sampled").select(*docs.columns)
+    axes, targets = {f"mix_{n}": f(n) for n, f in AXES.items()}, {f"mix_{n}": t for n, t in TARGETS.items()}
+    return _with_own_columns(docs, lambda df: mixing.mix(df, axes, targets, PART).where("sampled"), *axes, "n_tokens", "weight", "prob", "sampled")
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,5 +85,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on ``documents``."""
     docs = shared.read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = shared.write_table(stage(spark, docs, sf_dir), name)
+        kept = shared.write_table(stage(spark, docs, sf_dir), name)
+        shared.drop_table(docs)  # the input itself is left alone
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -38,3 +38,33 @@ def test_stages_in_order(spark):
             assert out.columns == columns
         docs = out
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, SF).select("doc_id").collect()} == ids
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls, empty and long texts, repeated rows and keys, clashing columns, no rows at all."""
+    from pyspark.sql import functions as F
+
+    docs = shared.read(spark, SF, "documents").limit(300)
+    clash = {"score": 1.5, "weight": 2.5, "predicted": 7, "lead": 3, "sampled": False, "n_tokens": 9, "_letter": "own", "mix_topic": "own", "ids": 4, "least": 5}
+    given = docs.withColumns({c: F.lit(v) for c, v in clash.items()})
+    one = given.where("length(text) > 200").orderBy("doc_id").limit(1)
+    text = one.first()["text"]
+    odd = one.withColumn("doc_id", F.lit(-1).cast("long")).union(one.withColumn("doc_id", F.lit(None).cast("long"))).union(one.withColumn("text", F.lit(None).cast("string")).withColumn("doc_id", F.lit(-2).cast("long")))
+    odd = odd.union(one.withColumn("text", F.lit("")).withColumn("doc_id", F.lit(-3).cast("long"))).union(one.withColumn("text", F.lit(" ".join([text] * (1_500_000 // len(text))))).withColumn("doc_id", F.lit(-4).cast("long")))
+    odd = odd.withColumns({"lang": F.lit(None).cast("string"), "source": F.lit(None).cast("string")})
+    given = shared.write_table(given.union(given.limit(40)).union(odd), "test-odd")
+    for name, stage in corpus_pipeline.STAGES:
+        out = shared.write_table(stage(spark, given, SF), f"test-odd-{name}")
+        assert stage(spark, given.limit(0), SF).count() == 0
+        if name == "byte_bpe":
+            assert out.count() == given.count() and out.where("NOT round_trip").count() == 0
+            assert {r["n_tokens"] for r in out.where("doc_id IN (-2, -3)").collect()} == {0}
+            continue
+        assert out.columns == given.columns and out.exceptAll(given).count() == 0
+        found = [r["doc_id"] for r in out.select("doc_id").collect()]
+        if name == "language_id":
+            assert not {-2, -3} & set(found) and {-1, -4, None} <= set(found)
+        if name == "near_duplicates":
+            assert len(found) == len(set(found)) and {-2, -3, -4, None} <= set(found) and -1 not in found  # the long text has the shingles of the short one
+    whole = given.where("doc_id IS NULL OR doc_id >= -1")
+    assert corpus_pipeline.near_duplicates(spark, whole, SF).where(F.col("text") == text).count() == 2
