@@ -88,6 +88,9 @@ def main(args: list[str] | None = None) -> int:
             "process-steps": (steps, "start_s"), "cluster-utilisation": (use, "time_s"), "transfers": (runstats.transfer_stats(moved, total), "start_s"),
             "processor-steps": (each, "name"), "step-statistics": (runstats.phase_stats(steps, use, each, memory.agg(F.count("*").alias("n"))), "name"),
             "transfer-curves": (runstats.transfer_curves(moved, total, step), "time_s"), "machine-peaks": (runstats.machine_peaks(machine, total, ["date_time"]), "processor"),
+            "machine-series": (runstats.machine_series(machine, total), "time_s"),
+            "message-exchange": (runstats.exchange_series(runlog.message_queues(events).withColumn("at_us", F.unix_micros("date_time"))), "time_us"),
+            "pools": (runstats.pool_series(runlog.pools(events).withColumn("at_us", F.unix_micros("date_time"))), "time_us"),
         }
         for name, (rows, order) in tables.items():
             series.write_csv(rows, f"{o.output}/{name}", order)

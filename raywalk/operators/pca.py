@@ -11,9 +11,10 @@ from raywalk.operators.chunks import CHUNK, with_halo
 from raywalk.operators.numeric import components, hankel, rotation_to_z, scatter, triangular
 
 
-def column_means(rows: DataFrame, width: int, column: str = "row") -> DataFrame:
-    """``col`` and ``mean`` of an embedding's columns."""
-    return rows.select(F.posexplode(column).alias("col", "v")).groupBy("col").agg(F.avg("v").alias("mean"))
+def column_means(rows: DataFrame, width: int) -> DataFrame:
+    """``col`` and ``mean`` over Hankel rows in column ``row``: one aggregate of all columns."""
+    means = rows.agg(*(F.avg(F.get("row", F.lit(j))).alias(f"m{j}") for j in range(width)))
+    return means.select(F.posexplode(F.array(*(f"m{j}" for j in range(width)))).alias("col", "mean"))
 
 
 def scatter_matrix(rows: DataFrame, width: int, column: str = "row") -> DataFrame:

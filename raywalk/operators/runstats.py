@@ -137,8 +137,8 @@ def phase_stats(phase_rows: DataFrame, utilisation: DataFrame, processors: DataF
 
 
 def transfer_curves(transfers: DataFrame, total: DataFrame, step_us: int) -> DataFrame:
-    """For each processor and grid time with any traffic: bytes in the step, sent, received and looped back, and their running
-    totals. A transfer counts at the grid times strictly inside it, each with its rate times the step, cut to whole bytes: a
+    """For each processor and grid time with any traffic: bytes in the step, sent, received and looped back, the rates of
+    sending and receiving in MiB a second, and running totals, which hold on until the next row. A transfer counts at the grid times strictly inside it, each with its rate times the step, cut to whole bytes: a
     step longer than a transfer can miss it. Totals run inside buckets of grid times, so a long run is not one task."""
     rows = transfers.join(F.broadcast(total.select(F.col("start_us").alias("_zero"), F.col("end_us").alias("_end"))))
     rows = rows.withColumn("a", F.col("start_us") - F.col("_zero")).withColumn("b", F.least(F.col("end_us") - F.col("_zero"), F.col("_end") - F.col("_zero")))
@@ -155,20 +155,38 @@ def transfer_curves(transfers: DataFrame, total: DataFrame, step_us: int) -> Dat
     before = before.select("p", "_bucket", *(F.coalesce(F.sum(c).over(earlier), F.lit(0).cast("long")).alias(f"_{c}") for c in ways))
     inside = Window.partitionBy("p", "_bucket").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     bins = bins.withColumns({f"{c}_total": F.sum(c).over(inside) for c in ways}).join(before, ["p", "_bucket"])
-    return bins.select(F.col("p").alias("processor"), (F.col("k") * step_us / 1e6).alias("time_s"), *ways, *((F.col(f"{c}_total") + F.col(f"_{c}")).alias(f"{c}_total") for c in ways))
+    return bins.select(F.col("p").alias("processor"), (F.col("k") * step_us / 1e6).alias("time_s"), *ways, *((F.col(c) / (step_us / 1e6 * 1024**2)).alias(f"{c}_mib_s") for c in ways[:2]), *((F.col(f"{c}_total") + F.col(f"_{c}")).alias(f"{c}_total") for c in ways))
+
+
+#: Parts of the memory in use, where the measurements have them.
+PARTS = ("heap", "stack")
 
 
 def machine_series(machine: DataFrame, run: DataFrame) -> DataFrame:
-    """Load and memory of each processor by seconds from the run's start."""
+    """Load, memory and the shares of heap and stack of each processor by seconds from the run's start."""
     rows = machine.join(F.broadcast(run.select(F.col("start_us").alias("_zero"))))
-    return rows.select("processor", ((F.col("at_us") - F.col("_zero")) / 1e6).alias("time_s"), "cpu_ratio", "used_memory", "used_ratio")
+    parts = [(F.col(c) / F.col("max_memory")).alias(f"{c}_ratio") for c in PARTS if c in machine.columns]
+    return rows.select("processor", ((F.col("at_us") - F.col("_zero")) / 1e6).alias("time_s"), "cpu_ratio", "used_memory", "used_ratio", *parts)
 
 
 def machine_peaks(machine: DataFrame, run: DataFrame, order: list[str]) -> DataFrame:
-    """For each processor: the greatest load and memory, and the earliest times at which they were measured."""
+    """For each processor: the greatest load, memory and shares of heap and stack, and the earliest times at which they were measured."""
     rows = machine.join(F.broadcast(run.select(F.col("start_us").alias("_zero")))).withColumn("time_s", (F.col("at_us") - F.col("_zero")) / 1e6)
+    rows = rows.withColumns({f"{c}_ratio": F.col(c) / F.col("max_memory") for c in PARTS if c in machine.columns})
     first = [-F.unix_micros(o) if o == "date_time" else -F.col(o) for o in order]
-    return rows.groupBy("processor").agg(
-        F.max("cpu_ratio").alias("max_cpu"), F.max_by("time_s", F.struct("cpu_ratio", *first)).alias("max_cpu_at_s"),
-        F.max("used_memory").alias("max_used"), F.max_by("time_s", F.struct("used_memory", *first)).alias("max_used_at_s"),
-    )
+    names = {"cpu": "cpu_ratio", "used": "used_memory"} | {c: f"{c}_ratio" for c in PARTS if c in machine.columns}
+    tops = [(F.max(c).alias(f"max_{n}"), F.max_by("time_s", F.struct(c, *first)).alias(f"max_{n}_at_s")) for n, c in names.items()]
+    return rows.groupBy("processor").agg(*(x for pair in tops for x in pair))
+
+
+def exchange_series(queues: DataFrame) -> DataFrame:
+    """Message queues of each processor with each other one, by microseconds from the pair's first measurement (``at_us``)."""
+    first = queues.groupBy("processor", "remote").agg(F.min("at_us").alias("_zero"))
+    rows = queues.join(F.broadcast(first), ["processor", "remote"])  # a row for each pair of processors
+    return rows.select("processor", "remote", (F.col("at_us") - F.col("_zero")).alias("time_us"), "enqueued", "unacknowledged", "largest_queue", "largest_receiver", "average_enqueued")
+
+
+def pool_series(pools: DataFrame) -> DataFrame:
+    """Workers of each processor's pool, the busy share and the queue, by microseconds from its first measurement (``at_us``)."""
+    rows = pools.join(F.broadcast(pools.groupBy("processor").agg(F.min("at_us").alias("_zero"))), "processor")
+    return rows.select("processor", (F.col("at_us") - F.col("_zero")).alias("time_us"), "workers", "available", "workers_ratio", "queue")

@@ -6,6 +6,8 @@ embed it in the plane by two lagged, centred and rounded sliding sums; the whole
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -104,6 +106,7 @@ _STAGES = {
     "normal": "SELECT start_idx, score, CASE WHEN most > least THEN (most - score) / (most - least) ELSE 0.0 END AS z FROM paths, (SELECT min(score) AS least, max(score) AS most FROM paths)",
     "scores": f"""SELECT start_idx, m AS anomaly_score FROM (
       SELECT start_idx, avg(z) OVER w AS m, count(*) OVER w AS c FROM normal WINDOW w AS (ORDER BY start_idx ROWS BETWEEN CURRENT ROW AND {P.length - 1} FOLLOWING)) WHERE c = {P.length}""",
+    "parts": "SELECT event_id, CAST(floor(value * 700) AS BIGINT) AS heap FROM events",
     "machine": "SELECT concat('p', user_id % 4) AS processor, event_id, epoch_us(ts) AS at_us, least(value / 100.0, 1.0) AS cpu_ratio, CAST(floor(value * 1000) AS BIGINT) AS used_memory, 600000 AS max_memory, CAST(floor(value * 1000) AS BIGINT) / 600000.0 AS used_ratio FROM events",
     "spans": "SELECT event_type AS name, epoch_us(ts) AS start_us, epoch_us(ts) + (CAST(floor(value) AS BIGINT) + 1) * 1000000 AS end_us FROM events",
     "run": "SELECT min(start_us) AS start_us, max(end_us) AS end_us, (max(end_us) - min(start_us)) / 1e6 AS duration_s FROM spans",
@@ -127,7 +130,7 @@ _NEEDS = {
     "series": [], "conv": ["series"], "points": ["conv"], "polar": ["points"], "steps": ["polar"], "candidates": ["steps"], "extent": ["points"], "rays": [],
     "crossings": ["candidates", "rays", "extent"], "stats": ["crossings"], "grid": ["crossings", "stats", "extent"], "nodes": ["grid"], "matched": ["crossings", "nodes"],
     "walk": ["steps", "matched"], "edges": ["walk"], "degrees": ["edges"], "slots": ["walk", "edges", "degrees"], "paths": ["slots"], "normal": ["paths"], "scores": ["normal"],
-    "machine": [], "spans": [], "run": ["spans"], "moves": [], "phased": ["spans", "run"], "paired": ["machine", "run"], "sampled": ["paired"], "used": ["sampled"], "busy": ["paired", "phased"],
+    "parts": [], "machine": [], "spans": [], "run": ["spans"], "moves": [], "phased": ["spans", "run"], "paired": ["machine", "run"], "sampled": ["paired"], "used": ["sampled"], "busy": ["paired", "phased"],
 }
 
 
@@ -430,9 +433,11 @@ def wall_micros(column: str = "ts") -> Column:
 def machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as measurements of four processors."""
     used = F.floor(F.col("value") * 1000).cast("long")
+    heap = F.floor(F.col("value") * 700).cast("long")
     return events(spark, sf_dir).select(
         F.concat(F.lit("p"), (F.col("user_id") % 4).cast("string")).alias("processor"), "event_id", wall_micros().alias("at_us"), F.least(F.col("value") / 100.0, F.lit(1.0)).alias("cpu_ratio"),
         used.alias("used_memory"), F.lit(600000).cast("long").alias("max_memory"), (used / 600000.0).alias("used_ratio"),
+        heap.alias("heap"), (used - heap).alias("stack"),
     )
 
 
@@ -519,7 +524,7 @@ def transfer_stats(spark, sf_dir):
     return rounded(runstats.transfer_stats(moves(spark, sf_dir), total(spark, sf_dir)))
 
 
-@query(staged(f"""SELECT processor, round(k * {CURVE} / 1e6, 6) AS time_s, sent, received, looped, CAST(sum(sent) OVER w AS BIGINT) AS sent_total, CAST(sum(received) OVER w AS BIGINT) AS received_total, CAST(sum(looped) OVER w AS BIGINT) AS looped_total FROM (
+@query(staged(f"""SELECT processor, round(k * {CURVE} / 1e6, 6) AS time_s, sent, received, looped, round(sent / ({CURVE} / 1e6 * 1048576), 6) AS sent_mib_s, round(received / ({CURVE} / 1e6 * 1048576), 6) AS received_mib_s, CAST(sum(sent) OVER w AS BIGINT) AS sent_total, CAST(sum(received) OVER w AS BIGINT) AS received_total, CAST(sum(looped) OVER w AS BIGINT) AS looped_total FROM (
   SELECT processor, k, CAST(sum(CASE WHEN way = 'sent' THEN part ELSE 0 END) AS BIGINT) AS sent, CAST(sum(CASE WHEN way = 'received' THEN part ELSE 0 END) AS BIGINT) AS received, CAST(sum(CASE WHEN way = 'loop' THEN part ELSE 0 END) AS BIGINT) AS looped FROM (
     SELECT unnest(CASE WHEN source = sink THEN [source] ELSE [source, sink] END) AS processor, unnest(CASE WHEN source = sink THEN ['loop'] ELSE ['sent', 'received'] END) AS way, k, part FROM (
       SELECT *, unnest(range(greatest(1, CAST(floor((start_us - z) / {CURVE}) AS BIGINT) + 1), CAST(ceil(least(end_us - z, e - z) / {CURVE}) AS BIGINT))) AS k, CAST(floor(bytes * {CURVE}.0::DOUBLE / (end_us - start_us)) AS BIGINT) AS part
@@ -548,17 +553,102 @@ def step_stats(spark, sf_dir):
     return rounded(runstats.phase_stats(steps, used(spark, sf_dir), each, count))
 
 
-@query(staged(_rounded("time_s, cpu_ratio, used_ratio", "(SELECT *, (at_us - z) / 1e6 AS time_s FROM machine, (SELECT start_us AS z FROM run))", "processor, used_memory"), "machine", "run"))
+_TIMED = "(SELECT m.*, heap, used_memory - heap AS stack, heap / 600000.0 AS heap_ratio, (used_memory - heap) / 600000.0 AS stack_ratio, (at_us - z) / 1e6 AS time_s FROM machine m JOIN parts USING (event_id), (SELECT start_us AS z FROM run))"
+
+
+@query(staged(_rounded("time_s, cpu_ratio, used_ratio, heap_ratio, stack_ratio", _TIMED, "processor, used_memory"), "machine", "run", "parts"))
 def machine_series(spark, sf_dir):
     return rounded(runstats.machine_series(machine(spark, sf_dir), total(spark, sf_dir)))
 
 
-@query(staged("""SELECT processor, max(cpu_ratio) AS max_cpu, round(arg_max(time_s, (cpu_ratio, -at_us, -event_id)), 6) AS max_cpu_at_s, max(used_memory) AS max_used, round(arg_max(time_s, (used_memory, -at_us, -event_id)), 6) AS max_used_at_s
-  FROM (SELECT *, (at_us - z) / 1e6 AS time_s FROM machine, (SELECT start_us AS z FROM run)) GROUP BY processor""", "machine", "run"))
+@query(staged(f"""SELECT processor, max(cpu_ratio) AS max_cpu, round(arg_max(time_s, (cpu_ratio, -at_us, -event_id)), 6) AS max_cpu_at_s, max(used_memory) AS max_used, round(arg_max(time_s, (used_memory, -at_us, -event_id)), 6) AS max_used_at_s,
+  round(max(heap_ratio), 6) AS max_heap, round(arg_max(time_s, (heap_ratio, -at_us, -event_id)), 6) AS max_heap_at_s, round(max(stack_ratio), 6) AS max_stack, round(arg_max(time_s, (stack_ratio, -at_us, -event_id)), 6) AS max_stack_at_s
+  FROM {_TIMED} GROUP BY processor""", "machine", "run", "parts"))
 def machine_peaks(spark, sf_dir):
     return rounded(runstats.machine_peaks(machine(spark, sf_dir), total(spark, sf_dir), ORDER))
 
 
+def log_file(spark: SparkSession, sf_dir: str, body: Column) -> DataFrame:
+    """Write ``events`` as lines of a run log to the session's shared folder and read the files back."""
+    line = F.concat(F.lit("["), F.date_format(F.col("ts").cast("timestamp"), runlog.TIME), F.lit("]  -  "), body)
+    path = f"{folder(spark)}/log-{uuid.uuid4().hex}"
+    events(spark, sf_dir).select(line).write.text(path)
+    return runlog.read_log(spark, path)
+
+
+def folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a local session without one gets a temporary one."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+        found = "file://" + tempfile.mkdtemp(prefix="raywalk-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def _stamped(kind: str, *fields: tuple[str, Column]) -> Column:
+    parts = [F.lit(f"{kind} {{ Processor = p"), (F.col("user_id") % 4).cast("string"), F.lit("; DateTime = "), F.date_format(F.col("ts").cast("timestamp"), runlog.TIME)]
+    for name, value in fields:
+        parts += [F.lit(f"; {name} = "), value.cast("string")]
+    return F.concat(*parts, F.lit("; }"))
+
+
+_MILLIS = "(epoch_us(ts) // 1000) * 1000"
+
+
+@query(f"""WITH q AS (SELECT concat('p', user_id % 4) AS processor, concat('p', (user_id // 4) % 4) AS remote, {_MILLIS} AS m_us, event_id FROM events)
+SELECT processor, remote, CAST(m_us - min(m_us) OVER (PARTITION BY processor, remote) AS BIGINT) AS time_us, event_id AS enqueued, event_id % 7 AS unacknowledged, event_id % 11 AS largest_queue, remote AS largest_receiver, (event_id % 13) / 2.0::DOUBLE AS average_enqueued FROM q""")
+def message_exchange(spark, sf_dir):
+    """Measurements of the message exchange, through a log file."""
+    i, remote = F.col("event_id"), F.concat(F.lit("p"), (F.floor(F.col("user_id") / 4) % 4).cast("string"))
+    lines = log_file(spark, sf_dir, _stamped("MessageExchangeUtilization", ("RemoteProcessor", remote), ("TotalNumberOfEnqueuedMessages", i), ("TotalNumberOfUnacknowledgedMessages", i % 7), ("LargestMessageQueueSize", i % 11), ("LargestMessageQueueReceiver", remote), ("AverageNumberOfEnqueuedMessages", (i % 13) / 2)))
+    return runstats.exchange_series(runlog.message_queues(lines).withColumn("at_us", F.unix_micros("date_time")))
+
+
+@query(f"""WITH q AS (SELECT concat('p', user_id % 4) AS processor, {_MILLIS} AS m_us, event_id % 9 AS workers, event_id % 9 // 2 AS available, event_id AS queue FROM events)
+SELECT processor, CAST(m_us - min(m_us) OVER (PARTITION BY processor) AS BIGINT) AS time_us, workers, available, CASE WHEN workers > 0 THEN round((workers - available) / workers, 6) END AS workers_ratio, queue FROM q""")
+def pool_use(spark, sf_dir):
+    """Measurements of the worker pools, through a log file."""
+    i = F.col("event_id")
+    lines = log_file(spark, sf_dir, _stamped("ActorPoolUtilization", ("Workers", i % 9), ("AvailableWorkers", F.floor(i % 9 / 2)), ("QueueSize", i)))
+    return rounded(runstats.pool_series(runlog.pools(lines).withColumn("at_us", F.unix_micros("date_time"))))
+
+
+@query("SELECT event_id AS idx, value FROM events")
+def binary_round_trip(spark, sf_dir):
+    """The series written as big-endian binary files and scanned again."""
+    return series.read_binary(spark, binary_file(spark, sf_dir))
+
+
+@query("SELECT event_id AS idx, value FROM events WHERE event_id >= 100 AND event_id < 350")
+def binary_range(spark, sf_dir):
+    """A range of records, by its bytes."""
+    return series.read_binary(spark, binary_file(spark, sf_dir), start=100, length=250)
+
+
+@query("SELECT event_id AS idx, round(value, 3) AS value FROM events")
+def text_round_trip(spark, sf_dir):
+    """The series written as text, a number a line, and read again by the order of lines."""
+    path = f"{folder(spark)}/text-{uuid.uuid4().hex}"
+    series.write_text(raw(spark, sf_dir).withColumn("value", F.round("value", 3)), path)
+    return series.read_text(spark, path)
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS records FROM events")
+def line_count(spark, sf_dir):
+    """Lines of a text file of the series."""
+    path = f"{folder(spark)}/text-{uuid.uuid4().hex}"
+    series.write_text(raw(spark, sf_dir), path)
+    return spark.range(1).select(F.lit(series.line_count(spark, path)).cast("long").alias("records"))
+
+
+def binary_file(spark: SparkSession, sf_dir: str) -> str:
+    path = f"{folder(spark)}/series-{uuid.uuid4().hex}"
+    series.write_binary(raw(spark, sf_dir), path)
+    return path
+
+
 _LINE = "concat('[', strftime(ts, '%Y/%m/%d %H:%M:%S.'), lpad(CAST((epoch_us(ts) // 1000) % 1000 AS VARCHAR), 3, '0'), ']  -  MachineUtilization { Processor = p', user_id % 4, '; MaximumMemory = 600000; UsedHeap = ', event_id * 3, '; UsedStack = ', user_id, '; CPULoad = 0.25; UsedStack = 7; }')"
 
 

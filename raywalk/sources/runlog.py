@@ -68,11 +68,11 @@ def transfers(events: DataFrame) -> DataFrame:
 
 
 def machine(events: DataFrame) -> DataFrame:
-    """``processor``, ``date_time``, ``max_memory``, ``used_memory`` (heap and stack), ``used_ratio``, ``cpu_ratio``."""
+    """``processor``, ``date_time``, ``max_memory``, ``heap``, ``stack``, ``used_memory`` (both), ``used_ratio``, ``cpu_ratio``."""
     p = F.col("props")
     rows = events.where("event = 'MachineUtilization'").select(
         p["Processor"].alias("processor"), stamp("props", "DateTime").alias("date_time"), p["MaximumMemory"].cast("long").alias("max_memory"),
-        (p["UsedHeap"].cast("long") + p["UsedStack"].cast("long")).alias("used_memory"), p["CPULoad"].cast("double").alias("cpu_ratio"),
+        p["UsedHeap"].cast("long").alias("heap"), p["UsedStack"].cast("long").alias("stack"), (p["UsedHeap"].cast("long") + p["UsedStack"].cast("long")).alias("used_memory"), p["CPULoad"].cast("double").alias("cpu_ratio"),
     )
     return rows.withColumn("used_ratio", F.col("used_memory") / F.col("max_memory"))
 

@@ -253,14 +253,25 @@ def expand_size(text: str) -> int:
     return int(found[1]) * {"": 1, "K": 10**3, "M": 10**6, "B": 10**9}[found[2].upper()]
 
 
+#: Copies that one row makes at once.
+COPIES = 4096
+
+
 def replicate(series: DataFrame, size: int | str) -> DataFrame:
-    """Repeat a series end to end up to ``size`` records, cutting the last repeat. Each record makes its own copies: no join."""
+    """Repeat a series end to end up to ``size`` records, cutting the last repeat. Each record makes its own copies, in two steps of at most
+    COPIES and as many tasks as the session shuffles to, so that a short series makes a long one in parallel: no join, no long array."""
     total = expand_size(size) if isinstance(size, str) else size
     n = series.count()
     if not n:
         raise ValueError("an empty series can't be repeated")
-    times = F.sequence(F.lit(0).cast("long"), F.lit(max(0, -(-total // n) - 1)).cast("long"))
-    rows = series.select(F.explode(times).alias("_time"), "idx", "value")
+    times = -(-total // n)
+    blocks = max(1, -(-times // COPIES))
+    zero = F.lit(0).cast("long")
+    rows = series.select("idx", "value").withColumn("_block", F.explode(F.sequence(zero, F.lit(blocks - 1).cast("long"))))
+    if blocks > 1:
+        rows = rows.repartition(F.col("_block"), F.col("idx"))
+    first = F.col("_block") * COPIES
+    rows = rows.withColumn("_time", F.explode(F.sequence(first, F.least(first + (COPIES - 1), F.lit(max(0, times - 1)).cast("long")))))
     return rows.select((F.col("_time") * n + F.col("idx")).alias("idx"), "value").where(F.col("idx") < total)
 
 

@@ -27,7 +27,7 @@ def test_totals_run_over_buckets(spark, monkeypatch):
     whole = sorted(map(tuple, runstats.transfer_curves(moved, total, 1_000_000).collect()))
     monkeypatch.setattr(runstats, "BINS", 2)
     assert sorted(map(tuple, runstats.transfer_curves(moved, total, 1_000_000).collect())) == whole
-    assert [r for r in whole if r[0] == "a"][-1] == ("a", 13.0, 0, 0, 3, 60, 30, 9)
+    assert [r for r in whole if r[0] == "a"][-1] == ("a", 13.0, 0, 0, 3, 0.0, 0.0, 60, 30, 9)
 
 
 def test_the_grid_reads_every_measurement(spark):
