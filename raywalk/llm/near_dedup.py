@@ -255,9 +255,9 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(x) + len(y) - common)
 
 
-def _pairs(g: list[dict], band: int, alone: bool, p: Params, comp: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+def _pairs(g: list[dict], band: int, alone: bool, p: Params, comp: np.ndarray, done: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """For each class of a block, or of two, those after it that it may have a link to, by falling agreement: pairs of different components, that
-    share this band as their first, of fitting sizes and signatures. ``comp`` may change meanwhile."""
+    share this band as their first, of fitting sizes and signatures, of which not both are ``done``. ``comp`` and ``done`` may change meanwhile."""
     sig = np.frombuffer(b"".join(r["sig"] for r in g), np.uint8).reshape(len(g), -1)
     bands, kinds, block, size = (np.array([r[c] for r in g]) for c in ("bands", "kind", "block", "n"))
     for x in range(len(g) - 1):
@@ -267,7 +267,11 @@ def _pairs(g: list[dict], band: int, alone: bool, p: Params, comp: np.ndarray) -
         fit &= 100 * np.minimum(size[rest], size[x]) >= p.percent * np.maximum(size[rest], size[x])
         if not alone:
             fit &= block[rest] != block[x]
+        if done[x]:
+            fit &= ~done[rest]
         rest = rest[fit]
+        if not len(rest):
+            continue
         rest = rest[(bands[rest] == bands[x]).argmax(axis=1) == band]
         if len(rest):
             est = ((sig[rest] == sig[x]).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
@@ -279,7 +283,7 @@ def _possible(g: list[dict], band: int, alone: bool, p: Params) -> np.ndarray:
     """Classes with a possible partner."""
     comp = np.unique([r["comp"] for r in g], return_inverse=True)[1]
     keep = np.zeros(len(g), bool)
-    for x, rest in _pairs(g, band, alone, p, comp):
+    for x, rest in _pairs(g, band, alone, p, comp, keep):
         keep[rest] = True
         keep[x] |= len(rest) > 0
     return keep
@@ -291,7 +295,7 @@ def _block_links(g: list[dict], band: int, alone: bool, p: Params) -> list[tuple
     comp = np.unique([r["comp"] for r in g], return_inverse=True)[1]
     sets: dict[int, np.ndarray] = {}
     out = []
-    for x, rest in _pairs(g, band, alone, p, comp):
+    for x, rest in _pairs(g, band, alone, p, comp, np.zeros(len(g), bool)):
         for y in rest.tolist():
             if comp[y] == comp[x]:
                 continue
