@@ -134,19 +134,53 @@ _NEEDS = {
 }
 
 
-def staged(final: str, *stages: str) -> str:
-    """SQL with the named stages, and all that they need, before the final select."""
+# The principal plane in SQL: power iteration by repeated squaring, and Rodrigues' rotation, instead of the pipeline's decomposition and folded filters.
+_SQUARINGS = 8
+_STAGES |= {
+    "sums": f"""SELECT idx, s AS conv FROM (
+      SELECT idx, sum(value) OVER (ORDER BY idx ROWS BETWEEN CURRENT ROW AND {P.convolution - 1} FOLLOWING) AS s,
+             count(*) OVER (ORDER BY idx ROWS BETWEEN CURRENT ROW AND {P.convolution} FOLLOWING) AS n FROM series) WHERE n = {P.convolution + 1}""",
+    "lagged": f"""SELECT r.idx, r.j, s.conv AS v FROM (SELECT idx, unnest(range(0, {P.width})) AS j FROM sums WHERE idx + {P.width - 1} <= (SELECT max(idx) FROM sums)) r JOIN sums s ON s.idx = r.idx + r.j""",
+    "centre": "SELECT j, avg(v) AS m FROM lagged GROUP BY j",
+    "scatter0": "WITH c AS MATERIALIZED (SELECT idx, j, v - m AS v FROM lagged JOIN centre USING (j)) SELECT a.j AS i, b.j AS j, sum(a.v * b.v) AS v FROM c a JOIN c b USING (idx) GROUP BY a.j, b.j",
+    "turn": """SELECT a0, a1, a2, (1 - a2) / (a0 * a0 + a1 * a1) AS f FROM (SELECT r0 / size AS a0, r1 / size AS a1, r2 / size AS a2 FROM (SELECT *, sqrt(r0 * r0 + r1 * r1 + r2 * r2) AS size FROM (
+      SELECT sum(d * w0) AS r0, sum(d * w1) AS r1, sum(d * w2) AS r2 FROM (
+        SELECT {c} * (SELECT min(value) FROM series) - m AS d, axis0.w AS w0, axis1.w AS w1, axis2.w AS w2 FROM centre JOIN axis0 USING (j) JOIN axis1 USING (j) JOIN axis2 USING (j)))))""".replace("{c}", str(P.convolution)),
+    "filters": """SELECT j, axis0.w * (1 - a0 * a0 * f) - axis1.w * a0 * a1 * f - axis2.w * a0 AS fx, axis1.w * (1 - a1 * a1 * f) - axis0.w * a0 * a1 * f - axis2.w * a1 AS fy
+      FROM axis0 JOIN axis1 USING (j) JOIN axis2 USING (j), turn""",
+    "principal": "SELECT idx, sum((v - m) * fx) AS x, sum((v - m) * fy) AS y FROM lagged JOIN centre USING (j) JOIN filters USING (j) GROUP BY idx",
+}
+_NEEDS |= {"sums": ["series"], "lagged": ["sums"], "centre": ["lagged"], "scatter0": ["lagged", "centre"], "turn": ["series", "centre", "axis0", "axis1", "axis2"], "filters": ["axis0", "axis1", "axis2", "turn"], "principal": ["lagged", "centre", "filters"]}
+for _k in range(3):
+    _last = f"scatter{_k}"
+    for _t in range(_SQUARINGS):
+        _STAGES[f"square{_k}_{_t}"] = f"SELECT a.i, b.j, sum(a.v / t * (b.v / t)) AS v FROM {_last} a JOIN {_last} b ON a.j = b.i, (SELECT max(abs(v)) AS t FROM {_last}) GROUP BY a.i, b.j"
+        _NEEDS[f"square{_k}_{_t}"] = [_last]
+        _last = f"square{_k}_{_t}"
+    _STAGES[f"axis{_k}"] = f"SELECT i AS j, v / sqrt(sum(v * v) OVER ()) * CASE WHEN first_value(v) OVER (ORDER BY i) < 0 THEN -1 ELSE 1 END AS w FROM {_last} WHERE j = (SELECT i FROM {_last} WHERE i = j ORDER BY v DESC, i LIMIT 1)"
+    _NEEDS[f"axis{_k}"] = [_last]
+    _joined = f"scatter{_k} s JOIN axis{_k} a ON s.i = a.j JOIN axis{_k} b ON s.j = b.j"
+    _STAGES[f"scatter{_k + 1}"] = f"SELECT s.i, s.j, s.v - e * a.w * b.w AS v FROM {_joined}, (SELECT sum(s.v * a.w * b.w) AS e FROM {_joined})"
+    _NEEDS[f"scatter{_k + 1}"] = [f"scatter{_k}", f"axis{_k}"]
+
+
+def staged(final: str, *stages: str, plane: str = "points") -> str:
+    """SQL with the named stages, and all that they need, before the final select. ``plane``: the stage that later ones take as ``points``."""
+    texts, needs = _STAGES, _NEEDS
+    if plane != "points":
+        texts, needs = texts | {"points": f"SELECT idx, x, y FROM {plane}"}, needs | {"points": [plane]}
     order: list[str] = []
 
     def add(name: str) -> None:
-        for n in _NEEDS[name]:
+        if name in order:
+            return
+        for n in needs[name]:
             add(n)
-        if name not in order:
-            order.append(name)
+        order.append(name)
 
     for s in stages:
         add(s)
-    return "WITH " + ",\n".join(f"{s} AS MATERIALIZED ({_STAGES[s]})" for s in order) + "\n" + final
+    return "WITH " + ",\n".join(f"{s} AS MATERIALIZED ({texts[s]})" for s in order) + "\n" + final
 
 
 def conv(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -664,21 +698,21 @@ def log_parse(spark, sf_dir):
     return rows.select("event_id", F.floor(wall_micros() / 1000).cast("long").alias("at_ms"), "event", p["Processor"].alias("processor"), (p["UsedHeap"].cast("long") + p["UsedStack"].cast("long")).alias("used_memory"), F.size("props").cast("long").alias("properties"))
 
 
-@query()
+@query(staged("SELECT idx, round(x, 3) AS x, round(y, 3) AS y FROM points", "points", plane="principal"))
 def trajectory(spark, sf_dir):
-    """Points of the principal plane."""
+    """Points of the principal plane, to three places."""
     detector = pipeline.Detector(raw(spark, sf_dir), P)
-    return detector.trajectory(detector.fit())
+    return detector.trajectory(detector.fit()).select("idx", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
 
 
-@query()
+@query(staged("SELECT * FROM edges", "edges", plane="principal"))
 def model_edges(spark, sf_dir):
     """Edges of the graph from the principal plane."""
     model = pipeline.Detector(raw(spark, sf_dir), P).fit()
     return spark.createDataFrame(model.edge_rows(), "from_segment int, from_node int, to_segment int, to_node int, weight long")
 
 
-@query()
+@query(staged("SELECT start_idx, round(anomaly_score, 6) AS anomaly_score FROM scores", "scores", plane="principal"))
 def anomaly_scores(spark, sf_dir):
     """The whole detection."""
-    return pipeline.detect(raw(spark, sf_dir), P)
+    return six(pipeline.detect(raw(spark, sf_dir), P), "anomaly_score")
