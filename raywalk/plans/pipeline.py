@@ -244,17 +244,17 @@ class Detector:
             return [{"e": found, "n": n}] if len(found) else []
 
         counted = _mapped(rows, count, "e array<long>, n array<long>").select(F.inline(F.arrays_zip("e", "n"))).groupBy("e").agg(F.sum("n").alias("n"))
-        edges = counted.collect()  # at most size**2, whatever the length of the series
-        model.weights = {r["e"]: r["n"] for r in edges}
+        edges = counted.toPandas()  # at most size**2, whatever the length of the series
+        model.weights = dict(zip(edges["e"].tolist(), edges["n"].tolist()))
         keys = np.array(list(model.weights), np.int64)
         model.degrees = np.bincount(keys // size, minlength=size) + np.bincount(keys % size, minlength=size) if len(keys) else np.zeros(size, np.int64)
 
-    def _carried(self, lasts: DataFrame) -> DataFrame:
-        """``chunk`` and ``before``, the last node of the nearest earlier chunk that has one, or -1; two levels, so no task gets all chunks."""
+    def _carried(self, lasts: DataFrame, before: int = -1) -> DataFrame:
+        """``chunk`` and ``before``, the last node of the nearest earlier chunk that has one, or the one given; two levels, so no task gets all chunks."""
         from raywalk.operators.chunks import carried
 
         every = self.packed.select("chunk").join(lasts, "chunk", "left")
-        return carried(every, F.col("last"), [], name="before").select("chunk", F.coalesce("before", F.lit(-1)).alias("before"))
+        return carried(every, F.col("last"), [], name="before").select("chunk", F.coalesce("before", F.lit(before)).cast("long").alias("before"))
 
     def path_scores(self, model: Model) -> DataFrame:
         """Chunk rows with arrays: first start position and path scores, as far as the chunk's running means need them."""
@@ -280,13 +280,25 @@ class Detector:
         rows = self.crossed.join(self.lasts, "chunk")
         return _mapped(rows, score, "chunk long, first long, own int, score array<double>")
 
-    def score(self, model: Model) -> DataFrame:
-        """``start_idx`` and ``anomaly_score``, higher for stranger subsequences. In no order."""
-        p = self.params
-        paths = kept(self.path_scores(model))
+    @staticmethod
+    def _ends(paths: DataFrame) -> tuple[float, float]:
         own = F.slice("score", 1, F.col("own"))
         ends = paths.where("own > 0").agg(F.min(F.array_min(own)), F.max(F.array_max(own))).first()
-        least, most = (float("nan"), float("nan")) if ends[0] is None else ends
+        return (float("nan"), float("nan")) if ends[0] is None else tuple(ends)
+
+    def ends(self, model: Model) -> tuple[float, float]:
+        """Least and greatest path score of the series."""
+        return self._ends(self.path_scores(model))
+
+    def score(self, model: Model, ends: tuple[float, float] | None = None) -> DataFrame:
+        """``start_idx`` and ``anomaly_score``, higher for stranger subsequences. In no order. ``ends``: the path scores that become 1 and 0,
+        by default the series' own; scores beyond ends that another series has given are under 0 or over 1."""
+        p = self.params
+        paths = self.path_scores(model)
+        if ends is None:
+            paths = kept(paths)
+            ends = self._ends(paths)
+        least, most = ends
 
         def smooth(row: dict) -> list[dict]:
             z = (most - row["score"]) / (most - least) if most > least else np.zeros(len(row["score"]))
@@ -307,15 +319,17 @@ class Detector:
         rows = _mapped(self.packed, points, "first long, x array<double>, y array<double>").select("first", F.posexplode(F.arrays_zip("x", "y")).alias("k", "p"))
         return rows.select((F.col("first") + F.col("k")).alias("idx"), "p.x", "p.y")
 
-    def cross_with(self, model: Model) -> None:
-        """Take crossings and carried nodes of this series from a model that another series has made."""
+    def cross_with(self, model: Model, before: int = -1) -> None:
+        """Take crossings and carried nodes of this series from a model that another series has made. ``before``: number of the last
+        node ahead of the series, or -1."""
         p, worker = self.params, self.worker
         directions = np.array([d[1:] for d in ray_directions(p.segments)])
+        sent = self.spark.sparkContext.broadcast(model)
 
         def cross(row: dict) -> list[dict]:
-            count = worker.ahead(row["chunk"])
-            x, y = worker.plane(row["records"], count + 1 if count else 0, model.filters, model.offsets)
-            far = max(model.radius, float(np.hypot(x, y).max()) if len(x) else 0.0)
+            m, count = sent.value, worker.ahead(row["chunk"])
+            x, y = worker.plane(row["records"], count + 1 if count else 0, m.filters, m.offsets)
+            far = max(m.radius, float(np.hypot(x, y).max()) if len(x) else 0.0)
             transition, segment, distance = numeric.crossings(x, y, p.segments, far, directions)
             return [{"chunk": row["chunk"], "count": count, "transition": transition.astype(np.int32), "segment": segment.astype(np.int32), "distance": distance}]
 
@@ -324,9 +338,20 @@ class Detector:
         def ends(row: dict) -> list[dict]:
             own = worker.own(row)
             s, d = row["segment"][own], row["distance"][own]
-            return [{"chunk": row["chunk"], "last": int(model.number(s[-1:], d[-1:])[0])}] if len(s) else []
+            return [{"chunk": row["chunk"], "last": int(sent.value.number(s[-1:], d[-1:])[0])}] if len(s) else []
 
-        self.lasts = self._carried(_mapped(self.crossed, ends, "chunk long, last long"))
+        self.lasts = self._carried(_mapped(self.crossed, ends, "chunk long, last long"), before)
+
+    def last_node(self, model: Model, end: int, before: int = -1) -> int:
+        """Number of the last node on the transitions under ``end``, or ``before`` if there is none."""
+        worker, sent = self.worker, self.spark.sparkContext.broadcast(model)
+
+        def last(row: dict) -> list[dict]:
+            own = np.flatnonzero((row["transition"] < worker.chunk) & (row["transition"] + row["chunk"] * worker.chunk < end))[-1:]
+            return [{"chunk": row["chunk"], "last": int(sent.value.number(row["segment"][own], row["distance"][own])[0])}] if len(own) else []
+
+        found = _mapped(self.crossed, last, "chunk long, last long").agg(F.max_by("last", "chunk")).first()[0]
+        return before if found is None else found
 
 
 @dataclass(frozen=True)
@@ -365,8 +390,8 @@ def detect(series: DataFrame, params: Params = Params()) -> DataFrame:
     return detector.score(detector.fit())
 
 
-def score_with(model: Model, series: DataFrame) -> DataFrame:
+def score_with(model: Model, series: DataFrame, ends: tuple[float, float] | None = None) -> DataFrame:
     """Score another series with a model that is fitted already; edges that the model doesn't know weigh nothing."""
     detector = Detector(series, model.params)
     detector.cross_with(model)
-    return detector.score(model)
+    return detector.score(model, ends)

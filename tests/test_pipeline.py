@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,3 +149,53 @@ def test_stream_of_batches_is_scored(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sum(got.values()) == len(ordered(score_with(model, s))[0])
+
+
+@pytest.mark.parametrize("durable", [True, False])
+def test_stream_gives_the_scores_of_the_whole_series(spark, tmp_path, durable):
+    import os
+
+    from raywalk.streaming.frozen import score_batches
+
+    values = wave(2600)
+    fitted = Detector(series(spark, values[:1500]), Params())
+    model = fitted.fit()
+    ends = fitted.ends(model)
+    cuts = [0, 40, 150, 172, 173, 180, 900, 901, 2500, 2600]  # the first batches complete no score
+    (tmp_path / "in").mkdir()
+    for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        path = tmp_path / "in" / f"{k}.parquet"
+        pd.DataFrame({"idx": np.arange(a, b), "value": values[a:b]}).to_parquet(path)
+        os.utime(path, (1_700_000_000 + k, 1_700_000_000 + k))
+    got = {}
+
+    def read():
+        stream = spark.readStream.schema("idx long, value double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        seen = lambda rows, k: got.update({k: rows.toPandas()})
+        query = score_batches(stream, model, seen, checkpoint=str(tmp_path / "c") if durable else None, ends=ends)
+        query.processAllAvailable()
+        query.stop()
+
+    read()
+    if durable:  # a second query goes on where the first one ended
+        path = tmp_path / "in" / "more.parquet"
+        more = wave(2700)[2600:]
+        values = np.concatenate([values, more])
+        pd.DataFrame({"idx": np.arange(2600, 2700), "value": more}).to_parquet(path)
+        read()
+    assert [len(got[k]) for k in range(4)] == [0, 0, 0, 0]
+    found = pd.concat([got[k] for k in sorted(got)]).sort_values("start_idx")
+    want = score_with(model, series(spark, values), ends).toPandas().sort_values("start_idx")
+    assert found["start_idx"].tolist() == want["start_idx"].tolist()
+    np.testing.assert_allclose(found["anomaly_score"], want["anomaly_score"], atol=1e-9)
+
+
+def test_stream_with_a_gap_is_an_error(spark, tmp_path):
+    from raywalk.streaming.frozen import score_batches
+
+    model = Detector(series(spark, wave(1500)), Params()).fit()
+    series(spark, wave(400)).where("idx != 200").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("idx long, value double").parquet(str(tmp_path / "in"))
+    query = score_batches(stream, model, lambda rows, k: None)
+    with pytest.raises(Exception, match="without a gap"):
+        query.processAllAvailable()
