@@ -38,6 +38,7 @@ def main(args: list[str] | None = None) -> int:
     find.add_argument("--intersection-segments", type=int, default=default.segments)
     find.add_argument("--query-length", type=int, default=default.query)
     find.add_argument("--single-file", action="store_true")
+    find.add_argument("--naive", action="store_true", help="add up every frame anew instead of keeping running sums")
     find.add_argument("--distribution", default="", help="accepted and ignored: Spark deals out the work")
     find.add_argument("--work-load-factor", type=float, default=1.0, help="accepted and ignored")
     diff.add_argument("left")
@@ -60,7 +61,7 @@ def main(args: list[str] | None = None) -> int:
     elif o.command == "replicate":
         series.write_binary(series.replicate(_read(spark, o.input), o.size), o.output)
     elif o.command == "detect":
-        p = Params(o.sub_sequence_length, o.convolution_size, o.intersection_segments, o.query_length)
+        p = Params(o.sub_sequence_length, o.convolution_size, o.intersection_segments, o.query_length, naive=o.naive)
         series.write_text(detect(_read(spark, o.input), p), o.output, "anomaly_score", "start_idx", o.single_file)
     elif o.command == "diff":
         if o.kind == "nodes":

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from raywalk.operators.chunks import CHUNK
 from raywalk.operators.graph import ENDS, edges, node_degrees
-from raywalk.operators.windows import normalised, running_mean, sliding_ratio
+from raywalk.operators.windows import normalised, running_mean, sliding_ratio, sliding_ratio_prefix
 
 
 def slot_summands(events: DataFrame, edge_rows: DataFrame | None = None) -> DataFrame:
@@ -21,10 +21,10 @@ def slot_summands(events: DataFrame, edge_rows: DataFrame | None = None) -> Data
     return events.join(worth, ENDS).groupBy("transition").agg(F.sum("summand").alias("summands"), F.count("*").alias("edges"))
 
 
-def path_scores(slots: DataFrame, query: int, chunk: int = CHUNK) -> DataFrame:
-    """``start_idx`` and ``score`` of every path of ``query`` slots: its summands over its number of edge events."""
+def path_scores(slots: DataFrame, query: int, chunk: int = CHUNK, running: bool = False) -> DataFrame:
+    """``start_idx`` and ``score`` of every path of ``query`` slots: its summands over its number of edge events. ``running``: from running sums."""
     rows = slots.withColumnRenamed("transition", "start_idx")
-    return sliding_ratio(rows, "summands", "edges", query, "score", "start_idx", chunk)
+    return (sliding_ratio_prefix if running else sliding_ratio)(rows, "summands", "edges", query, "score", "start_idx", chunk)
 
 
 def anomaly_scores(paths: DataFrame, length: int, chunk: int = CHUNK) -> DataFrame:

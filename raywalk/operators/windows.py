@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from raywalk.functions import scalars
 from raywalk.operators.chunks import CHUNK, frame, own_rows, with_halo
 
 
@@ -48,6 +49,16 @@ def sliding_ratio(rows: DataFrame, above: str, below: str, length: int, out: str
     return own_rows(halo.where(F.col("_n") == length), chunk, idx).select(idx, out)
 
 
+def sliding_ratio_prefix(rows: DataFrame, above: str, below: str, length: int, out: str = "score", idx: str = "idx", chunk: int = CHUNK) -> DataFrame:
+    """``sliding_ratio`` from differences of running sums inside the chunk; exact for integers."""
+    halo = with_halo(rows, chunk, after=length - 1, idx=idx)
+    order = Window.partitionBy("chunk").orderBy(idx)
+    totals = halo.withColumns({f"_{c}": F.sum(c).over(order.rowsBetween(Window.unboundedPreceding, 0)) for c in (above, below)})
+    part = lambda c: F.lead(f"_{c}", length - 1).over(order) - F.col(f"_{c}") + F.col(c)
+    halo = totals.select("chunk", idx, F.try_divide(part(above), part(below)).alias(out), F.lead(idx, length - 1).over(order).alias("_end"))
+    return own_rows(halo.where("_end IS NOT NULL"), chunk, idx).select(idx, out)
+
+
 def running_mean(rows: DataFrame, value: str, length: int, out: str, idx: str = "idx", chunk: int = CHUNK) -> DataFrame:
     """Mean of complete frames of ``length`` rows."""
     halo = with_halo(rows, chunk, after=length - 1, idx=idx)
@@ -72,5 +83,5 @@ def min_max(rows: DataFrame, value: str) -> DataFrame:
 def normalised(rows: DataFrame, value: str, out: str) -> DataFrame:
     """(most - value) / (most - least) over all rows; 0 where all are equal. One small aggregate is broadcast."""
     ends = min_max(rows, value)
-    scaled = F.coalesce(F.try_divide(F.col("most") - F.col(value), F.col("most") - F.col("least")), F.lit(0.0))
+    scaled = scalars.min_max_scaled(F.col(value), F.col("least"), F.col("most"))
     return rows.join(F.broadcast(ends)).withColumn(out, scaled).drop("least", "most")

@@ -9,7 +9,8 @@ from dataclasses import dataclass
 class Params:
     """``length``: subsequence length L; ``convolution``: width c of the sliding sums; ``segments``: number of
     rays S; ``query``: path length q; ``grid``: density points on a ray; ``scale``: extent over the largest
-    coordinate; ``chunk``: records that a task works on at once, or 0 to choose by the length of the series."""
+    coordinate; ``chunk``: records that a task works on at once, or 0 to choose by the length of the series; ``naive``: add up
+    every frame of the sliding sums, path scores and means anew, to measure or check the running sums by."""
 
     length: int = 50
     convolution: int = 16
@@ -18,6 +19,7 @@ class Params:
     grid: int = 250
     scale: float = 1.2
     chunk: int = 0
+    naive: bool = False
 
     def __post_init__(self):
         if self.convolution < 1:

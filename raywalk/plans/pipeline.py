@@ -146,7 +146,7 @@ class Detector:
             n = worker.share(row["chunk"])
             if not n:
                 return []
-            conv = numeric.sliding_sums(row["records"], p.convolution)[: n + p.width - 1]
+            conv = worker.sums(row["records"])[: n + p.width - 1]
             n, sums, cross = numeric.scatter(numeric.hankel(conv, p.width)[:n], shift)
             return [{"n": n, "sums": sums, "cross": cross.reshape(-1)}]
 
@@ -273,7 +273,7 @@ class Detector:
             value = np.where(known[place] == edge, worth[place], 0.0) if len(known) else np.zeros(len(edge))
             first = int(at[0])
             total, n = numeric.slot_sums(at - first, value, row["count"] - first)
-            paths = numeric.moving(total, p.query) / numeric.moving(n, p.query)
+            paths = worker.moving(total, p.query) / worker.moving(n, p.query)
             own = max(0, min(len(paths), worker.chunk - first))
             return [{"chunk": row["chunk"], "first": row["chunk"] * worker.chunk + first, "own": own, "score": paths[: own + p.length - 1]}]
 
@@ -293,7 +293,7 @@ class Detector:
     def score(self, model: Model, ends: tuple[float, float] | None = None) -> DataFrame:
         """``start_idx`` and ``anomaly_score``, higher for stranger subsequences. In no order. ``ends``: the path scores that become 1 and 0,
         by default the series' own; scores beyond ends that another series has given are under 0 or over 1."""
-        p = self.params
+        p, worker = self.params, self.worker
         paths = self.path_scores(model)
         if ends is None:
             paths = kept(paths)
@@ -302,7 +302,7 @@ class Detector:
 
         def smooth(row: dict) -> list[dict]:
             z = (most - row["score"]) / (most - least) if most > least else np.zeros(len(row["score"]))
-            means = (numeric.moving(z, p.length) / p.length)[: row["own"]]
+            means = (worker.moving(z, p.length) / p.length)[: row["own"]]
             return [{"first": row["first"], "means": means}] if len(means) else []
 
         rows = _mapped(paths, smooth, "first long, means array<double>")
@@ -362,6 +362,12 @@ class _Worker:
     chunk: int
     rows: int
 
+    def sums(self, records: np.ndarray) -> np.ndarray:
+        return (numeric.frame_sums if self.params.naive else numeric.sliding_sums)(records, self.params.convolution)
+
+    def moving(self, values: np.ndarray, length: int) -> np.ndarray:
+        return (numeric.frame_sums if self.params.naive else numeric.moving)(values, length)
+
     def share(self, at: int) -> int:
         return max(0, min(self.chunk, self.rows - at * self.chunk))
 
@@ -375,7 +381,7 @@ class _Worker:
     def plane(self, records: np.ndarray, count: int, filters: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The first ``count`` points: sliding dot products of the sums with the two filters, centred first."""
         p = self.params
-        conv = numeric.sliding_sums(records, p.convolution)[: count + p.width - 1] if count else np.zeros(0)
+        conv = self.sums(records)[: count + p.width - 1] if count else np.zeros(0)
         if len(conv) < p.width:
             return np.zeros(0), np.zeros(0)
         middle = conv.mean()

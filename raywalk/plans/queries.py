@@ -321,6 +321,22 @@ def scalar_math(spark, sf_dir):
     )
 
 
+@query("""SELECT idx, round(a1 * b2 - a2 * b1, 6) AS cross_x, round(a2 * b0 - a0 * b2, 6) AS cross_y, round(a0 * b1 - a1 * b0, 6) AS cross_z, round(a0 * b0 + a1 * b1 + a2 * b2, 6) AS dot,
+  round(a0 + u * (b0 - a0) / 4, 6) AS point, CAST(3 AS INTEGER) AS copies, a1 AS copy, round((100 - a0) / 100, 6) AS scaled, CAST(u AS INTEGER) AS u FROM (
+    SELECT event_id AS idx, value AS a0, CAST(event_id % 7 AS DOUBLE) AS a1, CAST(user_id % 5 AS DOUBLE) AS a2, CAST(event_id % 3 AS DOUBLE) AS b0, value / 2 AS b1, CAST(event_id % 4 AS DOUBLE) AS b2, unnest(range(0, 4)) AS u FROM events)""")
+def vector_math(spark, sf_dir):
+    """Vector and scalar products, even points between two numbers, filled arrays, min-max scaling."""
+    d = lambda c: c.cast("double")
+    v, i = F.col("value"), F.col("event_id")
+    rows = events(spark, sf_dir).select(i.alias("idx"), F.array(v, d(i % 7), d(F.col("user_id") % 5)).alias("a"), F.array(d(i % 3), v / 2, d(i % 4)).alias("b"))
+    a, b, at = F.col("a"), F.col("b"), lambda c, k: F.get(c, F.lit(k))
+    rows = rows.select("idx", "a", scalars.cross(a, b).alias("c"), scalars.dot(a, b).alias("dot"), scalars.filled(at(a, 1), 3).alias("f"), F.posexplode(scalars.make_range(at(a, 0), at(b, 0), 4)).alias("u", "point"))
+    return rows.select(
+        "idx", *(F.round(at("c", k), 6).alias(f"cross_{n}") for k, n in enumerate("xyz")), F.round("dot", 6).alias("dot"), F.round("point", 6).alias("point"), F.size("f").alias("copies"), at("f", 2).alias("copy"),
+        F.round(scalars.min_max_scaled(at("a", 0), F.lit(0.0), F.lit(100.0)), 6).alias("scaled"), "u",
+    )
+
+
 @query(staged("SELECT transition, ord, segment FROM candidates", "candidates"))
 def candidate_rays(spark, sf_dir):
     return polar.candidate_rays(points(spark, sf_dir), P.segments, CHUNK).select("transition", "ord", "segment")
@@ -409,6 +425,12 @@ def path_scores(spark, sf_dir):
     return six(paths(spark, sf_dir), "score")
 
 
+@query(staged("SELECT start_idx, round(score, 6) AS score FROM paths", "paths"))
+def path_scores_prefix(spark, sf_dir):
+    """The same scores from running sums."""
+    return six(scoring.path_scores(scoring.slot_summands(walk(spark, sf_dir)), P.query, CHUNK, running=True), "score")
+
+
 @query(staged("SELECT start_idx, round(z, 6) AS z FROM normal", "normal"))
 def normalized_scores(spark, sf_dir):
     return six(windows.normalised(paths(spark, sf_dir), "score", "z").select("start_idx", "z"), "z")
@@ -716,3 +738,9 @@ def model_edges(spark, sf_dir):
 def anomaly_scores(spark, sf_dir):
     """The whole detection."""
     return six(pipeline.detect(raw(spark, sf_dir), P), "anomaly_score")
+
+
+@query(staged("SELECT start_idx, round(anomaly_score, 6) AS anomaly_score FROM scores", "scores", plane="principal"))
+def anomaly_scores_naive(spark, sf_dir):
+    """The whole detection with every frame added up anew."""
+    return six(pipeline.detect(raw(spark, sf_dir), Params(naive=True)), "anomaly_score")

@@ -155,3 +155,12 @@ def test_rotation_reaches_z():
 def test_differences_tell_what_is_missing(spark):
     a, b = (spark.createDataFrame(r, "start_idx long, anomaly_score double") for r in ([(0, 1.0), (1, 2.0), (2, 5.0)], [(1, 2.5), (2, 5.0), (3, 0.0)]))
     assert compare.score_diff(a, b).first().asDict() == {"compared": 2, "max_difference": 0.5, "avg_difference": 0.25, "only_left": 1, "only_right": 1}
+
+
+def test_frames_added_up_anew_equal_running_sums():
+    from raywalk.operators import numeric
+
+    values = np.random.default_rng(5).normal(size=5000).cumsum()
+    for length in (1, 7, 5000, 5001):
+        np.testing.assert_allclose(numeric.frame_sums(values, length, block=64), numeric.moving(values, length), atol=1e-7)
+        np.testing.assert_allclose(numeric.frame_sums(values, length), numeric.sliding_sums(values, length), atol=1e-7)
