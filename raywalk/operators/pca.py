@@ -21,7 +21,10 @@ def scatter_matrix(rows: DataFrame, width: int, column: str = "row") -> DataFram
     """``i``, ``j`` (i <= j) and the centred cross product ``s`` of an embedding's columns."""
     means = rows.agg(*(F.avg(F.get(column, F.lit(j))).alias(f"m{j}") for j in range(width)))
     centred = rows.join(F.broadcast(means)).select(F.array(*(F.get(column, F.lit(j)) - F.col(f"m{j}") for j in range(width))).alias("c"))
-    return centred.agg(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.sum(F.get("c", F.lit(i)) * F.get("c", F.lit(j))).alias("s")) for i in range(width) for j in range(i, width))).alias("all")).select(F.inline("all"))
+    # a row for each i keeps the aggregate at one sum for each j, within the limits of generated code
+    each = centred.select("c", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("i"))
+    sums = each.groupBy("i").agg(*(F.sum(F.get("c", F.col("i")) * F.get("c", F.lit(j))).alias(f"s{j}") for j in range(width)))
+    return sums.select("i", F.posexplode(F.array(*(f"s{j}" for j in range(width)))).alias("j", "s")).where("i <= j")
 
 
 def principal_components(conv: DataFrame, width: int, means: np.ndarray | None = None, method: str = "scatter", chunk: int = CHUNK, k: int = 3) -> tuple[np.ndarray, np.ndarray]:

@@ -74,10 +74,12 @@ def resampled(machine: DataFrame, zero_us: Column, duration_us: Column, run: Dat
 
 
 def cluster_utilisation(samples: DataFrame, memory: DataFrame, step_us: int) -> DataFrame:
-    """For each grid time: mean, least and greatest processor load, and total, mean, least and greatest memory, absolute and relative."""
+    """For each grid time: mean, least and greatest processor load, and total, mean, least and greatest memory, absolute and relative.
+
+    Loads are added up as decimals of 18 places, so that the mean doesn't depend on the order of rows."""
     total = memory.agg(F.sum("max_memory").alias("_total"), F.count("*").alias("_n"))
     rows = samples.groupBy("k").agg(
-        F.avg("cpu").alias("avg_cpu"), F.min("cpu").alias("min_cpu"), F.max("cpu").alias("max_cpu"), F.sum("memory").alias("total_memory"),
+        F.avg(F.col("cpu").cast("decimal(28, 18)")).cast("double").alias("avg_cpu"), F.min("cpu").alias("min_cpu"), F.max("cpu").alias("max_cpu"), F.sum("memory").alias("total_memory"),
         F.avg("memory").alias("avg_memory"), F.min("memory").alias("min_memory"), F.max("memory").alias("max_memory"),
         F.min("ratio").alias("min_ratio"), F.max("ratio").alias("max_ratio"),
     )
@@ -137,25 +139,34 @@ def phase_stats(phase_rows: DataFrame, utilisation: DataFrame, processors: DataF
 
 
 def transfer_curves(transfers: DataFrame, total: DataFrame, step_us: int) -> DataFrame:
-    """For each processor and grid time with any traffic: bytes in the step, sent, received and looped back, the rates of
-    sending and receiving in MiB a second, and running totals, which hold on until the next row. A transfer counts at the grid times strictly inside it, each with its rate times the step, cut to whole bytes: a
-    step longer than a transfer can miss it. Totals run inside buckets of grid times, so a long run is not one task."""
-    rows = transfers.join(F.broadcast(total.select(F.col("start_us").alias("_zero"), F.col("end_us").alias("_end"))))
+    """For each processor and each grid time from 0 to before the run's end: bytes in the step, sent, received and looped back, the
+    rates of sending and receiving in MiB a second, and running totals; times without traffic have zeros. A transfer counts at the
+    grid times strictly inside it, each with its rate times the step, cut to whole bytes: a step longer than a transfer can miss it.
+    Totals run, and gaps are filled, inside buckets of grid times, so a long run is not one task."""
+    run = total.select(F.col("start_us").alias("_zero"), F.col("end_us").alias("_end"), F.greatest(F.lit(0).cast("long"), F.ceil((F.col("end_us") - F.col("start_us")) / step_us).cast("long") - 1).alias("_final"))
+    rows = transfers.join(F.broadcast(run))
     rows = rows.withColumn("a", F.col("start_us") - F.col("_zero")).withColumn("b", F.least(F.col("end_us") - F.col("_zero"), F.col("_end") - F.col("_zero")))
     rows = rows.withColumn("_first", F.greatest(F.lit(1).cast("long"), F.floor(F.col("a") / step_us).cast("long") + 1)).withColumn("_last", F.ceil(F.col("b") / step_us).cast("long") - 1).where("_last >= _first")
     part = F.floor(F.col("bytes") * F.lit(float(step_us)) / (F.col("end_us") - F.col("start_us"))).cast("long")
     rows = rows.withColumn("part", part).withColumn("k", F.explode(F.sequence("_first", "_last")))
     who = F.when(F.col("source") == F.col("sink"), F.array(F.struct(F.col("source").alias("p"), F.lit("loop").alias("way")))).otherwise(F.array(F.struct(F.col("source").alias("p"), F.lit("sent").alias("way")), F.struct(F.col("sink").alias("p"), F.lit("received").alias("way"))))
-    rows = rows.select("k", "part", F.inline(who))
+    rows = rows.select("k", "part", F.inline(who)).withColumn("_bucket", F.floor(F.col("k") / BINS).cast("long"))
     ways = ["sent", "received", "looped"]
+    # a row without traffic opens each bucket
+    opens = transfers.select(F.explode(F.array("source", "sink")).alias("p")).distinct().join(F.broadcast(run)).select("p", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("_final") / BINS).cast("long"))).alias("_bucket"))
+    opens = opens.select((F.col("_bucket") * BINS).alias("k"), F.lit(0).cast("long").alias("part"), "p", F.lit("sent").alias("way"), "_bucket")
     sums = [F.sum(F.when(F.col("way") == w, F.col("part")).otherwise(0)).alias(n) for w, n in zip(("sent", "received", "loop"), ways)]
-    bins = rows.groupBy("p", "k").agg(*sums).withColumn("_bucket", F.floor(F.col("k") / BINS).cast("long"))
+    bins = rows.union(opens).groupBy("p", "_bucket", "k").agg(*sums)
     earlier = Window.partitionBy("p").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = bins.groupBy("p", "_bucket").agg(*(F.sum(c).alias(c) for c in ways))
     before = before.select("p", "_bucket", *(F.coalesce(F.sum(c).over(earlier), F.lit(0).cast("long")).alias(f"_{c}") for c in ways))
-    inside = Window.partitionBy("p", "_bucket").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    bins = bins.withColumns({f"{c}_total": F.sum(c).over(inside) for c in ways}).join(before, ["p", "_bucket"])
-    return bins.select(F.col("p").alias("processor"), (F.col("k") * step_us / 1e6).alias("time_s"), *ways, *((F.col(c) / (step_us / 1e6 * 1024**2)).alias(f"{c}_mib_s") for c in ways[:2]), *((F.col(f"{c}_total") + F.col(f"_{c}")).alias(f"{c}_total") for c in ways))
+    order = Window.partitionBy("p", "_bucket").orderBy("k")
+    inside = order.rowsBetween(Window.unboundedPreceding, 0)
+    bins = bins.withColumns({f"{c}_total": F.sum(c).over(inside) for c in ways} | {"_next": F.lead("k").over(order)}).join(before, ["p", "_bucket"]).join(F.broadcast(run.select("_final")))
+    until = F.coalesce(F.col("_next") - 1, F.least((F.col("_bucket") + 1) * BINS - 1, "_final"))
+    bins = bins.withColumn("at", F.explode(F.sequence("k", until)))
+    bins = bins.withColumns({c: F.when(F.col("at") == F.col("k"), F.col(c)).otherwise(F.lit(0).cast("long")) for c in ways})
+    return bins.select(F.col("p").alias("processor"), (F.col("at") * step_us / 1e6).alias("time_s"), *ways, *((F.col(c) / (step_us / 1e6 * 1024**2)).alias(f"{c}_mib_s") for c in ways[:2]), *((F.col(f"{c}_total") + F.col(f"_{c}")).alias(f"{c}_total") for c in ways))
 
 
 #: Parts of the memory in use, where the measurements have them.

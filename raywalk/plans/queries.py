@@ -120,7 +120,7 @@ _STAGES = {
           SELECT *, unnest(range(a, b + 1)) AS k FROM (
             SELECT *, CASE WHEN opens THEN 0 ELSE greatest(0, CAST(ceil(t / {STEP}) AS BIGINT)) END AS a, CASE WHEN nt IS NULL THEN last_k ELSE least(last_k, CAST(ceil(nt / {STEP}) AS BIGINT) - 1) END AS b
             FROM (SELECT *, (d - 1) // {STEP} AS last_k FROM paired)) WHERE b >= a))""",
-    "used": f"""SELECT k * {STEP} / 1e6 AS time_s, avg(cpu) AS avg_cpu, min(cpu) AS min_cpu, max(cpu) AS max_cpu, CAST(sum(memory) AS BIGINT) AS total_memory, sum(memory) / 2400000.0 AS total_ratio, avg(memory) AS avg_memory, avg(memory) / 600000.0 AS avg_ratio,
+    "used": f"""SELECT k * {STEP} / 1e6 AS time_s, avg(CAST(cpu AS DECIMAL(28, 18))) AS avg_cpu, min(cpu) AS min_cpu, max(cpu) AS max_cpu, CAST(sum(memory) AS BIGINT) AS total_memory, sum(memory) / 2400000.0 AS total_ratio, avg(memory) AS avg_memory, avg(memory) / 600000.0 AS avg_ratio,
       min(memory) AS min_memory, min(ratio) AS min_ratio, max(memory) AS max_memory, max(ratio) AS max_ratio FROM sampled GROUP BY k""",
     "busy": """SELECT name, processor, sum(CASE WHEN idle THEN len ELSE 0 END) AS idle_s, sum(CASE WHEN idle THEN 0 ELSE len END) AS busy_s, max(used_memory) AS max_memory, max(used_ratio) AS max_ratio, any_value(duration_s) AS duration_s FROM (
       SELECT *, (nt / 1e6 - t / 1e6) AS len, cpu_ratio < 0.05 AND ncpu < 0.05 AS idle FROM paired WHERE nt IS NOT NULL) JOIN phased ON t / 1e6 >= start_s AND t / 1e6 <= end_s GROUP BY name, processor""",
@@ -266,12 +266,15 @@ def lag_embedding(spark, sf_dir):
     return rows.select("idx", *(F.get("row", F.lit(j)).alias(f"v{j}") for j in range(SMALL)))
 
 
-@query(" UNION ALL ".join(f"SELECT {j}::INTEGER AS col, round(avg(v{j}), 4) AS mean FROM ({_SMALL})" for j in range(SMALL)))
+_LONG = f"WITH e AS MATERIALIZED ({_SMALL}), long AS MATERIALIZED (SELECT idx, unnest(range(0, {SMALL}))::INTEGER AS col, unnest([{', '.join(f'v{j}' for j in range(SMALL))}]) AS v FROM e)"
+
+
+@query(f"{_LONG} SELECT col, round(avg(v), 4) AS mean FROM long GROUP BY col")
 def column_means(spark, sf_dir):
     return pca.column_means(windows.lag_embedding(conv(spark, sf_dir), SMALL, chunk=CHUNK), SMALL).withColumn("mean", F.round("mean", 4))
 
 
-@query(" UNION ALL ".join(f"SELECT {i}::INTEGER AS i, {j}::INTEGER AS j, round(covar_pop(v{i}, v{j}), 2) AS s FROM ({_SMALL})" for i in range(SMALL) for j in range(i, SMALL)))
+@query(f"{_LONG} SELECT a.col AS i, b.col AS j, round(covar_pop(a.v, b.v), 2) AS s FROM long a JOIN long b ON a.idx = b.idx AND a.col <= b.col GROUP BY a.col, b.col")
 def scatter_matrix(spark, sf_dir):
     """Cross products of the centred columns, over the number of rows."""
     rows = windows.lag_embedding(conv(spark, sf_dir), SMALL, chunk=CHUNK)
@@ -581,12 +584,14 @@ def transfer_stats(spark, sf_dir):
 
 
 @query(staged(f"""SELECT processor, round(k * {CURVE} / 1e6, 6) AS time_s, sent, received, looped, round(sent / ({CURVE} / 1e6 * 1048576), 6) AS sent_mib_s, round(received / ({CURVE} / 1e6 * 1048576), 6) AS received_mib_s, CAST(sum(sent) OVER w AS BIGINT) AS sent_total, CAST(sum(received) OVER w AS BIGINT) AS received_total, CAST(sum(looped) OVER w AS BIGINT) AS looped_total FROM (
+  SELECT processor, k, coalesce(sent, 0) AS sent, coalesce(received, 0) AS received, coalesce(looped, 0) AS looped FROM (
+    SELECT processor, unnest(range(0, greatest(1, CAST(ceil((e - z) / {CURVE}) AS BIGINT)))) AS k FROM (SELECT source AS processor FROM moves UNION SELECT sink FROM moves), (SELECT start_us AS z, end_us AS e FROM run)) LEFT JOIN (
   SELECT processor, k, CAST(sum(CASE WHEN way = 'sent' THEN part ELSE 0 END) AS BIGINT) AS sent, CAST(sum(CASE WHEN way = 'received' THEN part ELSE 0 END) AS BIGINT) AS received, CAST(sum(CASE WHEN way = 'loop' THEN part ELSE 0 END) AS BIGINT) AS looped FROM (
     SELECT unnest(CASE WHEN source = sink THEN [source] ELSE [source, sink] END) AS processor, unnest(CASE WHEN source = sink THEN ['loop'] ELSE ['sent', 'received'] END) AS way, k, part FROM (
       SELECT *, unnest(range(greatest(1, CAST(floor((start_us - z) / {CURVE}) AS BIGINT) + 1), CAST(ceil(least(end_us - z, e - z) / {CURVE}) AS BIGINT))) AS k, CAST(floor(bytes * {CURVE}.0::DOUBLE / (end_us - start_us)) AS BIGINT) AS part
-      FROM moves, (SELECT start_us AS z, end_us AS e FROM run))) GROUP BY processor, k) WINDOW w AS (PARTITION BY processor ORDER BY k)""", "moves", "run"))
+      FROM moves, (SELECT start_us AS z, end_us AS e FROM run))) GROUP BY processor, k) USING (processor, k)) WINDOW w AS (PARTITION BY processor ORDER BY k)""", "moves", "run"))
 def transfer_curves(spark, sf_dir):
-    """Traffic by time, with running totals."""
+    """Traffic at every grid time, with running totals."""
     return rounded(runstats.transfer_curves(moves(spark, sf_dir), total(spark, sf_dir), CURVE))
 
 
