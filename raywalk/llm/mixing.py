@@ -5,8 +5,10 @@ and are raked to each axis's target shares in turn. A document's weight is its c
 tokens; documents are then drawn by a hash of their key with probability min(1, c * weight), where c is
 calibrated so that the expected tokens of the draw are the wanted part of all, whatever is cut at 1.
 
-Only counts of the cells reach the driver, at most MAX_CELLS rows; beyond that the call fails rather than
-leaving cells out. The draw depends on nothing but the key, so it is the same on every run.
+Counts of the cells reach the driver while there are at most MAX_CELLS. More of them stay in a written table: a fitted
+weight is the cell's tokens times one factor for each of its axis values, so only sums along one axis at a time come to the
+driver, and the calibration is by sums over the cells. Of an axis with over MAX_CELLS values of its own the call fails rather
+than leaving values out. The draw depends on nothing but the key, so it is the same on every run.
 
 Defined results: a null axis value is the cell value ''; null or empty texts have no tokens, and a cell
 without tokens keeps weight 1; targets for values that don't occur are left out and the others
@@ -22,6 +24,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from raywalk.llm import shared
+
 MAX_CELLS = 200_000
 ROUNDS = 25
 
@@ -70,7 +74,52 @@ def calibrate(tokens: np.ndarray, weight: np.ndarray, part: float) -> float:
     return float(c[good[0]]) if len(good) else float(1 / f[f > 0].min()) if (f > 0).any() else 0.0
 
 
-def mix(df: DataFrame, axes: dict[str, Column], targets: dict[str, Callable[[dict[str, int]], dict[str, float]]], part: float, tokens: Column | None = None, key: str = "doc_id", rounds: int = ROUNDS) -> DataFrame:
+def _along(cells: DataFrame, axis: str, value: Column, limit: int) -> dict[str, float]:
+    """Sums of ``value`` for each value of one axis."""
+    found = cells.groupBy(axis).agg(F.sum(value).alias("_sum")).limit(limit + 1).collect()
+    if len(found) > limit:
+        raise ValueError(f"more than {limit} values of {axis}")
+    return {r[0]: r[1] for r in found}
+
+
+def _times(rows: DataFrame, factors: dict[str, dict[str, float]], to: str) -> DataFrame:
+    """Add ``to``, the product of the factors of a row's axis values."""
+    spark, product = rows.sparkSession, F.lit(1.0)
+    for k, (axis, of) in enumerate(factors.items()):
+        table = spark.createDataFrame(list(of.items()), f"`{axis}` string, `_factor{k}` double")
+        rows = rows.join(F.broadcast(table), axis)
+        product = product * F.col(f"_factor{k}")
+    return rows.withColumn(to, product).drop(*(f"_factor{k}" for k in range(len(factors))))
+
+
+def _rake_cells(cells: DataFrame, names: list[str], targets: dict[str, Callable], part: float, rounds: int, limit: int) -> tuple[dict[str, dict[str, float]], float]:
+    """Factors of the axis values, and c, as ``rake`` and ``calibrate`` find them, of ``cells`` (a written table: axes, ``tokens``)."""
+    have = {n: _along(cells, n, F.col("tokens"), limit) for n in names}
+    total = float(sum(have[names[0]].values()))
+    share, factors = {}, {n: dict.fromkeys(have[n], 1.0) for n in names}
+    for n in names:
+        wanted = targets[n](have[n])
+        kept = {v: float(wanted.get(v, 0.0)) if s else 0.0 for v, s in have[n].items()}
+        whole = sum(kept.values()) or 1.0
+        share[n] = {v: x / whole for v, x in kept.items()}
+    for _ in range(rounds):
+        for n in names:
+            now = _along(_times(cells, factors, "_w"), n, F.col("tokens") * F.col("_w"), limit)
+            factors[n] = {v: f * share[n][v] * total / now[v] if now[v] > 0 else 0.0 for v, f in factors[n].items()}
+    weighted = _times(cells, factors, "_w").withColumn("_w", F.when(F.col("tokens") > 0, F.col("_w")).otherwise(1.0))
+    c, wanted = 0.0, part * total
+    while True:  # each turn cuts more cells at 1, until those that are cut are the right ones
+        over = F.lit(c) * F.col("_w") > 1
+        sums = weighted.agg(F.sum(F.when(over, F.col("tokens")).otherwise(0)).alias("cut"), F.sum(F.when(over, 0.0).otherwise(F.col("tokens") * F.col("_w"))).alias("rest"), F.min(F.when(F.col("_w") > 0, F.col("_w"))).alias("least")).first()
+        if not sums["rest"]:
+            return factors, 1 / sums["least"] if sums["least"] else 0.0
+        after = (wanted - sums["cut"]) / sums["rest"]
+        if after <= c * (1 + 1e-12):
+            return factors, c
+        c = after
+
+
+def mix(df: DataFrame, axes: dict[str, Column], targets: dict[str, Callable[[dict[str, int]], dict[str, float]]], part: float, tokens: Column | None = None, key: str = "doc_id", rounds: int = ROUNDS, max_cells: int = MAX_CELLS) -> DataFrame:
     """Add the axes, ``n_tokens``, ``weight``, ``prob`` and ``sampled``. ``targets`` gives each axis's shares, in any scale, from its token counts.
 
     ``tokens`` is the number of a document's tokens, the words of ``text`` by default. The table is read twice, so axes and tokens
@@ -79,9 +128,17 @@ def mix(df: DataFrame, axes: dict[str, Column], targets: dict[str, Callable[[dic
     made = [*names, "n_tokens", "weight", "prob", "sampled"]
     rest = [F.col(f"`{c}`") for c in df.columns if c not in made]
     rows = df.select(*rest, *(F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in axes.items()), F.coalesce((n_words(F.col("text")) if tokens is None else tokens).cast("long"), F.lit(0).cast("long")).alias("n_tokens"))
-    cells = rows.groupBy(*names).agg(F.sum("n_tokens").alias("tokens")).limit(MAX_CELLS + 1).toPandas().sort_values(names)
-    if len(cells) > MAX_CELLS:
-        raise ValueError(f"more than {MAX_CELLS} cells")
+    draw = F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    counted = rows.groupBy(*names).agg(F.sum("n_tokens").alias("tokens"))
+    cells = counted.limit(max_cells + 1).toPandas()
+    if len(cells) > max_cells:
+        kept = shared.write_table(counted, "cells")
+        factors, c = _rake_cells(kept, names, targets, part, rounds, MAX_CELLS)
+        empty = kept.where("tokens = 0").select(*names, F.lit(1.0).alias("_empty"))
+        mixed = _times(rows, factors, "weight").join(empty, names, "left").withColumn("weight", F.coalesce("_empty", "weight"))
+        mixed = mixed.withColumn("prob", F.least(F.lit(1.0), F.lit(c) * F.col("weight")))
+        return mixed.withColumn("sampled", draw < F.col("prob")).select(*rest, *made)
+    cells = cells.sort_values(names)
     have = cells["tokens"].to_numpy().astype(np.int64)
     of, shares = [], []
     for n in names:
@@ -98,5 +155,4 @@ def mix(df: DataFrame, axes: dict[str, Column], targets: dict[str, Callable[[dic
     spark = df.sparkSession
     schema = ", ".join(f"`{n}` string" for n in names) + ", weight double, prob double"
     table = F.broadcast(spark.createDataFrame([(*map(str, r[:-2]), float(r[-2]), float(r[-1])) for r in cells.itertuples(index=False)], schema))
-    draw = F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     return rows.join(table, names, "left").withColumn("sampled", draw < F.col("prob")).select(*rest, *made)

@@ -252,6 +252,20 @@ def test_raking_meets_its_targets():
         assert (tokens * np.minimum(1, c * weight)).sum() == pytest.approx(part * tokens.sum())
 
 
+def test_mixing_of_more_cells_than_the_driver_takes(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, f"s{int(rng.integers(6))}", f"t{int(rng.integers(4))}", int(rng.integers(1, 50)) ** 2) for i in range(400)]
+    rows += [(400, "s0", "t9", 0), (401, "s9", "t9", 0), (402, "s1", "t0", 0), (None, None, "t1", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, topic string, words long")
+    axes = {"source": F.col("source"), "topic": F.col("topic")}
+    for targets in ({"source": mixing.uniform, "topic": mixing.square_root}, {"source": lambda t: {"s1": 3.0, "s2": 1.0}, "topic": mixing.uniform}):
+        for part in (0.4, 1.0):
+            near, far = (mixing.mix(df, axes, targets, part, F.col("words"), rounds=4, max_cells=m).orderBy("doc_id").collect() for m in (1000, 5))
+            assert [r["sampled"] for r in near] == [r["sampled"] for r in far]
+            for c in ("weight", "prob"):
+                assert np.allclose([r[c] for r in near], [r[c] for r in far], rtol=1e-9, atol=0)
+
+
 def test_mixing_edges(spark):
     rows = [(1, "a b", None, 1), (2, None, "s", 1), (2, None, "s", 1), (None, "a b c 1 2 3", "t", 1), (3, "", "s", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, weight int")
