@@ -10,6 +10,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -484,6 +485,20 @@ def matrix_diff(spark, sf_dir):
     return found.withColumns({"max_difference": F.round("max_difference", 6), "avg_difference": F.round("avg_difference", 4)})
 
 
+@query(f"""{_LONG}, s AS (SELECT round(covar_pop(a.v, b.v), 2) AS s FROM long a JOIN long b ON a.idx = b.idx GROUP BY a.col, b.col)
+SELECT count(*) AS compared, round(max(abs(s)), 2) AS max_difference, round(avg(abs(s)), 4) AS avg_difference, 0::BIGINT AS only_left, 0::BIGINT AS only_right FROM s""")
+def matrix_diff_binary(spark, sf_dir):
+    """The scatter matrix, a row for each lag, against its double: one dumped as text, one in binary, both read again."""
+    matrix = np.zeros((SMALL, SMALL))
+    for i, j, v in scatter_matrix(spark, sf_dir).collect():
+        matrix[i, j] = matrix[j, i] = v
+    path = f"{folder(spark)}/matrix-{uuid.uuid4().hex}"
+    dumps.write_matrix(matrix, f"{path}/text")
+    dumps.write_matrix(2 * matrix, f"{path}/binary", binary=True)
+    found = compare.matrix_diff(dumps.read_matrix(spark, f"{path}/text"), dumps.read_matrix(spark, f"{path}/binary"))
+    return found.withColumns({"max_difference": F.round("max_difference", 2), "avg_difference": F.round("avg_difference", 4)})
+
+
 def wall_micros(column: str = "ts") -> Column:
     """Microseconds of a wall-clock time, whatever the session's time zone."""
     return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST({column} AS TIMESTAMP_NTZ))")

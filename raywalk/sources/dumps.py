@@ -58,6 +58,14 @@ def unpack_matrix(data: bytes) -> np.ndarray:
     return np.frombuffer(data[16:], ">f8").astype(float).reshape(rows, cols)
 
 
+def write_matrix(matrix: np.ndarray, path: str, binary: bool = False) -> None:
+    """One file, as text or binary; its folder is made if need be."""
+    store, at = store_of(path)
+    store.create_dir(at.rpartition("/")[0], recursive=True)
+    with store.open_output_stream(at) as f:
+        f.write(pack_matrix(matrix) if binary else format_matrix(matrix).encode())
+
+
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     """``row``, ``col``, ``value`` of a dump of either kind; a driver-side matrix, such as a covariance or a rotation."""
     store, at = store_of(path)
