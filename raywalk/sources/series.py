@@ -204,22 +204,31 @@ def mini_series(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(enumerate([4.4, 5.5, 6.6, 7.7])), "idx long, value double")
 
 
-def indexed(values: DataFrame, value: str = "value") -> DataFrame:
-    """Dense positions in the order of the rows: counts of the partitions before, then places inside. No shuffle of the rows."""
-    rows = values.select(F.col(value).alias("value"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("id"))
-    counts = rows.groupBy("part").agg(F.count("*").alias("n"), F.min("id").alias("low")).orderBy("part").collect()  # a row for each partition
+def indexed(values: DataFrame, value: str = "value", file: str | None = None, block: str | None = None) -> DataFrame:
+    """Dense positions in the order of the rows: counts of the partitions before, then places inside. No shuffle of the rows.
+
+    ``file`` and ``block``: columns with a row's file and the start of its split there. Spark deals splits out by size, not
+    by name, so rows of files are counted for each split and numbered by names, then starts; numbers in names count by their value."""
+    parts = [F.col(file), F.col(block)] if file else [F.lit(""), F.spark_partition_id().cast("long")]
+    rows = values.select(F.col(value).alias("value"), *(c.alias(n) for c, n in zip(parts, ("file", "part"))), F.monotonically_increasing_id().alias("id"))
+    counts = rows.groupBy("file", "part").agg(F.count("*").alias("n"), F.min("id").alias("low")).collect()  # a row for each split
     before, starts = 0, []
-    for r in counts:
-        starts.append((r["part"], before - r["low"]))
+    for r in sorted(counts, key=lambda r: (natural(r["file"]), r["file"], r["part"])):
+        starts.append((r["file"], r["part"], before - r["low"]))
         before += r["n"]
-    table = F.broadcast(values.sparkSession.createDataFrame(starts or [(0, 0)], "part int, shift long"))
-    return rows.join(table, "part").select((F.col("id") + F.col("shift")).alias("idx"), "value")
+    table = F.broadcast(values.sparkSession.createDataFrame(starts or [("", 0, 0)], "file string, part long, shift long"))
+    return rows.join(table, ["file", "part"]).select((F.col("id") + F.col("shift")).alias("idx"), "value")
+
+
+def natural(name: str) -> list:
+    """A key that sorts names by the values of the numbers in them: part-99999 before part-100000."""
+    return [int(p) if k % 2 else p for k, p in enumerate(re.split(r"([0-9]+)", name))]
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
-    """A number for each line, in the order of lines; blank lines are left out. A line that is no number is an error."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    return indexed(lines.select(F.trim("value").cast("double").alias("value")))
+    """A number for each line, in the order of files' names and lines; blank lines are left out. A line that is no number is an error."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")).where(F.trim("value") != "")
+    return indexed(lines.select(F.trim("value").cast("double").alias("value"), "file", "block"), file="file", block="block")
 
 
 def write_text(rows: DataFrame, path: str, value: str = "value", order: str = "idx", single: bool = False, mode: str = "overwrite") -> None:

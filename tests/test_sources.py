@@ -48,6 +48,21 @@ def test_text_keeps_the_order_of_lines(spark, tmp_path):
     assert big.where("idx != value").count() == 0 and big.count() == 10_000
 
 
+def test_text_of_several_files_keeps_the_order_of_names_and_lines(spark, tmp_path):
+    sizes, n = {9: 3, 10: 1, 11: 400, 12: 20, 99999: 2, 100000: 50}, 0
+    for part, size in sizes.items():
+        (tmp_path / f"part-{part:05d}-x.txt").write_text("".join(f"{float(i)}\n" for i in range(n, n + size)))
+        n += size
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("200b", before):  # files in several splits, and several files in one partition
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            df = series.read_text(spark, str(tmp_path))
+            assert df.where("idx != value").count() == 0 and sorted(r["idx"] for r in df.collect()) == list(range(n))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_replicate_and_sizes(spark):
     assert [series.expand_size(x) for x in ("12", "3k", "2M", "1B")] == [12, 3000, 2_000_000, 10**9]
     with pytest.raises(ValueError):
