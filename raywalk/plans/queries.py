@@ -679,7 +679,7 @@ def message_exchange(spark, sf_dir):
     """Measurements of the message exchange, through a log file."""
     i, remote = F.col("event_id"), F.concat(F.lit("p"), (F.floor(F.col("user_id") / 4) % 4).cast("string"))
     lines = log_file(spark, sf_dir, _stamped("MessageExchangeUtilization", ("RemoteProcessor", remote), ("TotalNumberOfEnqueuedMessages", i), ("TotalNumberOfUnacknowledgedMessages", i % 7), ("LargestMessageQueueSize", i % 11), ("LargestMessageQueueReceiver", remote), ("AverageNumberOfEnqueuedMessages", (i % 13) / 2)))
-    return runstats.exchange_series(runlog.message_queues(lines).withColumn("at_us", F.unix_micros("date_time")))
+    return runstats.exchange_series(pipeline.kept(runlog.message_queues(lines).withColumn("at_us", F.unix_micros("date_time"))))
 
 
 @query(f"""WITH q AS (SELECT concat('p', user_id % 4) AS processor, {_MILLIS} AS m_us, event_id % 9 AS workers, event_id % 9 // 2 AS available, event_id AS queue FROM events)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LINE = r"^\[(\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2}\.\d{3})\]\s+-\s+(\w+) \{ (.*?) ?\}\s*$"
+#: The body ends before the last brace, less one space; found from the line's end, as a lazy match would try each place.
+LINE = r"^\[(\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2}\.\d{3})\]\s+-\s+(\w+) \{ (.*(?= \}\s*$)|.*(?=\}\s*$)) ?\}\s*$"
 TIME = "yyyy/MM/dd HH:mm:ss.SSS"
 #: Names of the events in a run log.
 DURATIONS = [
@@ -16,11 +17,14 @@ MEASUREMENTS = ["MachineUtilization", "MessageExchangeUtilization", "ActorPoolUt
 
 
 def properties(text: Column) -> Column:
-    """``k = v; k = v;`` as a map; of a repeated key the last value holds."""
+    """``k = v; k = v;`` as a map; of a repeated key the last value holds.
+
+    Each step is bound to a lambda's variable: an expression that is named twice is worked out twice."""
     pairs = F.filter(F.transform(F.split(text, r";\s*"), lambda p: F.split(p, r"\s=\s", 2)), lambda p: F.size(p) == 2)
     pairs = F.transform(pairs, lambda p: F.struct(F.trim(F.get(p, F.lit(0))).alias("key"), F.trim(F.get(p, F.lit(1))).alias("value")))
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["key"]))
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(pairs, lambda p: p["key"] == k), -1)["value"]))
+    keys = lambda p: F.array_distinct(p["key"])
+    last = lambda p: F.transform(keys(p), lambda k: F.struct(k.alias("key"), F.element_at(F.filter(p, lambda q: q["key"] == k), -1)["value"].alias("value")))
+    return F.map_from_entries(F.get(F.transform(F.array(pairs), lambda p: F.when(F.size(keys(p)) == F.size(p), p).otherwise(last(p))), F.lit(0)))
 
 
 def parse_log(lines: DataFrame, value: str = "value") -> DataFrame:

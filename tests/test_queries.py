@@ -50,3 +50,9 @@ def test_core_stands_without_the_llm_subpackage():
     for path in root.rglob("*.py"):
         if "llm" not in path.relative_to(root).parts:
             assert "raywalk.llm" not in path.read_text(), path
+
+
+@pytest.mark.parametrize("name", ["message_exchange"])
+def test_a_log_is_parsed_once(spark, name):
+    plan = queries.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan and "Relation" in plan

@@ -116,3 +116,20 @@ def test_command_line(spark, tmp_path):
     assert args("report", "--input", tmp_path / "run.log", "--output", tmp_path / "report") == 0
     text = "".join(p.read_text() for p in (tmp_path / "report" / "transfers").glob("part-*"))
     assert "Nodes" in text and ";" in text
+
+
+def test_line_pattern_takes_the_same_parts_as_a_lazy_one(spark):
+    lazy = r"^\[(\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2}\.\d{3})\]\s+-\s+(\w+) \{ (.*?) ?\}\s*$"
+    bodies = ["{ }", "{  }", "{   }", "{ a = 1; }", "{ a = 1; } ", "{ a = 1;  }\t ", "{ a = }", "{ a =  }", "{ a = } }", "{ a = }}", "{ a = {x}; b = 2}", "{}", "{ a = 1;", "{ a = 1; } x", "a = 1 }", "{ a = 1; }\r", "{ a = 1; \u2028}"]
+    lines = spark.createDataFrame([(f"[2020/05/01 10:00:00.050]  -  Event {b}",) for b in bodies], "value string")
+    parts = lambda pattern: F.when(F.col("value").rlike(pattern), F.array(*(F.regexp_extract("value", pattern, k) for k in (1, 2, 3))))
+    got = lines.select(parts(runlog.LINE).alias("new"), parts(lazy).alias("old")).collect()
+    assert [r["new"] for r in got] == [r["old"] for r in got] and sum(r["old"] is None for r in got) >= 4
+
+
+def test_properties_are_split_once(spark):
+    text = ["a = 1; b = 2; a = 3; ", "x; = 4; c = ; d = 5 = 6;   e =  7 ", "", None]
+    df = spark.createDataFrame([(t,) for t in text], "t string").select(runlog.properties(F.col("t")).alias("p"))
+    assert [r["p"] for r in df.collect()] == [{"a": "3", "b": "2"}, {"c": "", "d": "5 = 6", "e": "7"}, {}, None]
+    assert [r[0] for r in df.select(F.map_keys("p")).collect()] == [["a", "b"], ["c", "d", "e"], [], None]
+    assert df._jdf.queryExecution().analyzed().toString().count("split(") == 2
