@@ -688,7 +688,7 @@ def pool_use(spark, sf_dir):
     """Measurements of the worker pools, through a log file."""
     i = F.col("event_id")
     lines = log_file(spark, sf_dir, _stamped("ActorPoolUtilization", ("Workers", i % 9), ("AvailableWorkers", F.floor(i % 9 / 2)), ("QueueSize", i)))
-    return rounded(runstats.pool_series(runlog.pools(lines).withColumn("at_us", F.unix_micros("date_time"))))
+    return rounded(runstats.pool_series(pipeline.kept(runlog.pools(lines).withColumn("at_us", F.unix_micros("date_time")))))
 
 
 @query("SELECT event_id AS idx, value FROM events")

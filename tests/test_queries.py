@@ -52,7 +52,7 @@ def test_core_stands_without_the_llm_subpackage():
             assert "raywalk.llm" not in path.read_text(), path
 
 
-@pytest.mark.parametrize("name", ["message_exchange"])
+@pytest.mark.parametrize("name", ["message_exchange", "pool_use"])
 def test_a_log_is_parsed_once(spark, name):
     plan = queries.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "split(" not in plan and "Relation" in plan
