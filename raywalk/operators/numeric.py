@@ -60,10 +60,17 @@ def rotation_to_z(ref: np.ndarray) -> np.ndarray:
     return np.eye(3) + k + k @ k * ((1 - dot) / sine)
 
 
-def crossings(x: np.ndarray, y: np.ndarray, segments: int, radius: float, directions: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``transition`` (from 0), ``segment`` and ``distance`` of all crossings, in the order of transition and candidate."""
+def crossings(x: np.ndarray, y: np.ndarray, segments: int, radius: float, directions: np.ndarray, block: int = 1 << 15) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``transition`` (from 0), ``segment`` and ``distance`` of all crossings, in the order of transition and candidate. Candidates are some
+    times as many as transitions and have many columns, so only those of ``block`` transitions are there at once."""
     if len(x) < 2:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    parts = [_crossings(x[i : i + block + 1], y[i : i + block + 1], segments, radius, directions) for i in range(0, len(x) - 1, block)]
+    transition = np.concatenate([t + k * block for k, (t, _, _) in enumerate(parts)])
+    return transition, np.concatenate([s for _, s, _ in parts]), np.concatenate([d for _, _, d in parts])
+
+
+def _crossings(x: np.ndarray, y: np.ndarray, segments: int, radius: float, directions: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     theta = np.arctan2(y, x)
     theta = np.where(np.isnan(theta), 0.0, np.where(theta < 0, theta + 2 * math.pi, theta))
     bucket = np.floor(theta / (2 * math.pi) * segments).astype(np.int64)

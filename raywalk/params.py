@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+#: Records of a chunk at most, unless its reach is longer.
+LARGEST = 1 << 17
+
 
 @dataclass(frozen=True)
 class Params:
@@ -46,5 +49,5 @@ class Params:
             raise ValueError(f"a series of {n} records is too short for subsequences of {self.length}")
 
     def chunk_for(self, n: int, parallelism: int) -> int:
-        """About two chunks a core, between 4096 and about a million records."""
-        return self.chunk or max(self.reach, 4096, min(1 << 20, -(-n // max(1, 2 * parallelism))))
+        """About two chunks a core, between 4096 records and LARGEST, so that a task's memory doesn't grow with the series."""
+        return self.chunk or max(self.reach, 4096, min(LARGEST, -(-n // max(1, 2 * parallelism))))

@@ -164,3 +164,22 @@ def test_frames_added_up_anew_equal_running_sums():
     for length in (1, 7, 5000, 5001):
         np.testing.assert_allclose(numeric.frame_sums(values, length, block=64), numeric.moving(values, length), atol=1e-7)
         np.testing.assert_allclose(numeric.frame_sums(values, length), numeric.sliding_sums(values, length), atol=1e-7)
+
+
+def test_memory_of_a_chunk_is_bounded():
+    import tracemalloc
+
+    x, y = np.random.default_rng(5).normal(size=(2, 100_001))
+    directions = np.array([d[1:] for d in polar.ray_directions(50)])
+    whole = numeric.crossings(x, y, 50, 7.0, directions, block=1 << 20)
+    for block in (7_919, 100_000):
+        assert all(np.array_equal(a, b) for a, b in zip(whole, numeric.crossings(x, y, 50, 7.0, directions, block)))
+    peaks = []
+    for n in (100_001, 200_001):
+        x, y = np.random.default_rng(5).normal(size=(2, n))
+        tracemalloc.start()
+        found = numeric.crossings(x, y, 50, 7.0, directions)
+        peaks.append(tracemalloc.get_traced_memory()[1] - 2 * sum(a.nbytes for a in found))
+        tracemalloc.stop()
+    assert max(peaks) < 160e6 and peaks[1] < 1.3 * peaks[0]
+    assert Params().chunk_for(10**10, 12) <= 1 << 17 and Params(length=300_000, convolution=16).chunk_for(10**10, 12) > 600_000
