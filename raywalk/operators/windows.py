@@ -45,8 +45,8 @@ def sliding_ratio(rows: DataFrame, above: str, below: str, length: int, out: str
     """Sum of ``above`` over sum of ``below`` in complete frames of ``length`` rows."""
     halo = with_halo(rows, chunk, after=length - 1, idx=idx)
     f = frame(0, length - 1, idx)
-    halo = halo.select("chunk", idx, F.try_divide(F.sum(above).over(f), F.sum(below).over(f)).alias(out), F.count("*").over(f).alias("_n"))
-    return own_rows(halo.where(F.col("_n") == length), chunk, idx).select(idx, out)
+    halo = halo.select("chunk", idx, F.try_divide(F.sum(above).over(f), F.sum(below).over(f)).alias(out), F.lead(idx, length - 1).over(Window.partitionBy("chunk").orderBy(idx)).alias("_end"))
+    return own_rows(halo.where("_end IS NOT NULL"), chunk, idx).select(idx, out)
 
 
 def sliding_ratio_prefix(rows: DataFrame, above: str, below: str, length: int, out: str = "score", idx: str = "idx", chunk: int = CHUNK) -> DataFrame:

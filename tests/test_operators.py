@@ -183,3 +183,12 @@ def test_memory_of_a_chunk_is_bounded():
         tracemalloc.stop()
     assert max(peaks) < 160e6 and peaks[1] < 1.3 * peaks[0]
     assert Params().chunk_for(10**10, 12) <= 1 << 17 and Params(length=300_000, convolution=16).chunk_for(10**10, 12) > 600_000
+
+
+def test_density_terms_that_are_zero_are_not_worked_out(monkeypatch):
+    d, points, done, exp = np.random.default_rng(7).uniform(0, 6, 5000), np.arange(250) * 6 / 250, [], np.exp
+    want = exp(-0.5 * ((d[:, None] - points) * 40.0) ** 2).sum(axis=0)
+    monkeypatch.setattr(np, "exp", lambda a, **k: done.append(a.size) or exp(a, **k))
+    assert np.allclose(numeric.density_sums(d, points, 40.0), want, rtol=1e-12, atol=0)
+    assert sum(done) < 0.5 * d.size * points.size
+    assert not numeric.density_sums(d[:0], points, 40.0).any()
